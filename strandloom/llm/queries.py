@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import packing, quality_rules, word_bpe
+from strandloom.llm import mixing, packing, pii, quality_rules, syncmers, word_bpe
 from strandloom.llm.common import documents
 
 
@@ -10,9 +10,12 @@ def queries() -> dict:
     return {
         "op1_quality_rules": lambda s, d: quality_rules.quality_rules(documents(s, d)),
         "op2_token_counts": lambda s, d: word_bpe.token_counts(documents(s, d)),
+        "op5_pii": lambda s, d: pii.find_personal_data(documents(s, d)),
+        "op6_mixing": lambda s, d: mixing.mix(documents(s, d)),
         "op7_packing": lambda s, d: packing.pack(documents(s, d)),
+        "op8_fingerprints": lambda s, d: syncmers.fingerprints(documents(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle()}

@@ -1,0 +1,66 @@
+"""Operator 5 against Python's re on the base kinds, and planted cases for the rest."""
+
+import hashlib
+import re
+
+import pytest
+from strandloom.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    v = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+    return sum(x - 9 if x > 9 else x for x in v) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k, (kind, p) in enumerate(BASE.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (14 <= len(d) <= 19 and luhn(d)) or kind == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+TEXTS = [
+    None, "", "a@b.c@d.e.f x_y%z+q-w@h-o.s.t", "a@b.c_d@e.f a@b a@.b @b.c", "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 001.0002.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 41111111111111111111111",
+    "+1 (017) 555-7713 +44 20.7946.0018 +1 2 +123456789012345678 +1-800-555-0199-", "é😀 a@b.cc 😀 10.0.0.1", "1 " * 3000, "7" * 4000, "a" * 6000 + "@b.c", "x." * 3000, 'token = "e51a5499e3950eabef3742d6cf40b27b4e61a74a" z',
+    "4111111111111111 +4111111111111111", "0.0.0.0000000000000000000255", "call (212) 555-1234 now, SSN 123-45-6789", "Donaudampfschifffahrtsgesellschaft und so weiter ====================", "v" * 50,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(2, TEXTS[2], "x"), (None, TEXTS[4], None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_email string").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000", "text", "lang"))
+
+
+def test_base_spans_equal_python(docs):
+    key = lambda x: (str(x[0]), x[1], x[2])
+    want = sorted(((r.doc_id, hashlib.sha256(",".join(b := brute(r.text)).encode()).hexdigest(), sum(x.startswith("email") for x in b)) for r in docs.collect()), key=key)
+    got = pii.find_personal_data(docs).collect()
+    assert sorted(((r.doc_id, r.base_sha256, r.n_email) for r in got), key=key) == want
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        assert set(brute(texts[r.doc_id])) <= set(r.spans.split(","))
+
+
+def test_further_kinds(docs):
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert spans[12] == "secret:9:49" and "national_phone:5:19" in spans[15] and "identity_number:29:40" in spans[15]
+    assert spans[16] == "" and spans[17] == "" and spans[0] == "" and spans[1] == ""
+
+
+def test_redaction(docs):
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert got[7] == "é😀 [EMAIL] 😀 [IP]" and got[0] is None and got[12] == 'token = "[SECRET]" z'
+    assert pii.redact(docs).columns == docs.columns
+
+
+def test_empty(docs):
+    assert pii.find_personal_data(docs.limit(0)).count() == 0
