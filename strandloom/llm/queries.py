@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import mixing, packing, pii, quality_rules, syncmers, word_bpe
+from strandloom.llm import mixing, ngram_join, packing, pii, quality_rules, syncmers, word_bpe
 from strandloom.llm.common import documents
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_mixing": lambda s, d: mixing.mix(documents(s, d)),
         "op7_packing": lambda s, d: packing.pack(documents(s, d)),
         "op8_fingerprints": lambda s, d: syncmers.fingerprints(documents(s, d)),
+        "op9_ngram_join": lambda s, d: ngram_join.similar(documents(s, d)),
     }
 
 
