@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import mil_quality, mixing, ngram_join, packing, pii, ppm, quality_rules, syncmers, word_bpe
+from strandloom.llm import mil_quality, mixing, ngram_join, packing, pii, ppm, quality_rules, suffix_dedup, syncmers, word_bpe
 from strandloom.llm.common import documents, labels
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": lambda s, d: quality_rules.quality_rules(documents(s, d)),
         "op2_token_counts": lambda s, d: word_bpe.token_counts(documents(s, d)),
+        "op3_suffix_dedup": lambda s, d: suffix_dedup.dedup(documents(s, d)),
         "op4_mil_quality": lambda s, d: mil_quality.score(documents(s, d), labels(s, d)),
         "op5_pii": lambda s, d: pii.find_personal_data(documents(s, d)),
         "op6_mixing": lambda s, d: mixing.mix(documents(s, d)),
