@@ -10,6 +10,7 @@ their first n - ceil(percent * n / 100) + 1 elements in any common order; the or
      pairs of a list, first only neighbours in it (and neighbours among a group's members) are verified; connected
      components of these links follow. Then candidates are enumerated only between members of different components, which
      are aggregated to (element, component) rows first, so that a large group of near copies costs its size, not its square.
+     A pair also has to pass a parity sketch: sets differ in at least as many elements as their SKETCH parity bits differ.
   4. Verified links of both rounds give the components; every link between different components has been verified.
 
 Style: shingle sets and their intersection in Arrow batches (Python, numpy); all joins and counts are DataFrame operations.
@@ -31,16 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import written
+from strandloom.llm.common import small_batches, written
 from strandloom.llm.components import components
 
 WORDS = 3
 PERCENT = 90
 FREQUENT = 1 << 20
 FREQUENT_FROM = 12
-RUN = 1 << 21
+RUN = 1 << 20
 BROADCAST_IDS = 2_000_000
-CACHE = 400_000
+CACHE = 200_000
+SKETCH = 512
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -127,18 +129,20 @@ def frequent_shingles(docs: DataFrame, n: int = WORDS, least: int = FREQUENT_FRO
 
 def prefixes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, size, key, prefix) per document: key identifies the set; prefix holds its first elements in the global order."""
-    k, c = frequent_shingles(docs, n)
+    with small_batches(docs.sparkSession):
+        k, c = frequent_shingles(docs, n)
     known = docs.sparkSession.sparkContext.broadcast((k, c))
 
     def run(batches):
         k, c = known.value
-        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
         for b in batches:
-            out = {"doc_id": b.column(0), "size": [], "key": [], "prefix": []}
+            out = {"doc_id": b.column(0), "size": [], "key": [], "prefix": [], "parity": []}
             for t in b.column(1).to_pylist():
                 s = shingles(t, n)
                 m = len(s)
                 out["size"].append(m)
+                out["parity"].append(np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64))
                 out["key"].append(xxhash.xxh3_128_digest(s.tobytes()) if m else b"")
                 if not m:
                     out["prefix"].append([])
@@ -152,7 +156,13 @@ def prefixes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
                 out["prefix"].append(s[:p].astype(np.int64))
             yield _batches(out, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size int, key binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size int, key binary, prefix array<long>, parity array<long>")
+
+
+def may_link(nx, px, ny, py, percent: int):
+    """Whether sets of sizes nx, ny and parity sketches px, py can have the wanted Jaccard."""
+    apart = sum((F.bit_count(px[i].bitwiseXOR(py[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * apart <= (100 - percent) * (nx + ny))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -178,14 +188,16 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int = WORDS, percent: int = P
 
     found = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, set binary")
     joined = pairs.join(found.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct(), "links")
+    with small_batches(docs.sparkSession):
+        return written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows = written(prefixes(docs, n, percent), "prefixes")
+    with small_batches(docs.sparkSession):
+        rows = written(prefixes(docs, n, percent), "prefixes")
     full = rows.filter("size > 0")
-    nodes = full.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = full.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     nodes = written(nodes.filter("node is not null").withColumn("gkey", F.xxhash64("size", "prefix")), "nodes")
     groups = nodes.groupBy("gkey", "size").agg(F.min("node").alias("gid"), F.first("prefix").alias("prefix"))
 
@@ -204,7 +216,11 @@ def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     c = F.col
     chain = lists.filter(c("prev").isNotNull() & fits(c("size"), c("pos"), c("prev_size"), c("prev_pos"))).select(F.least("prev", "gid").alias("a"), F.greatest("prev", "gid").alias("b"))
     inside = nodes.withColumn("a", F.lag("node").over(Window.partitionBy("gkey", "size").orderBy("node"))).filter("a is not null").select("a", c("node").alias("b"))
-    links = verified(chain.union(inside).filter("a <> b").distinct(), docs, n, percent)
+    sketch = nodes.select("node", c("size").alias("n"), "parity")
+    near = chain.union(inside).filter("a <> b").distinct()
+    for e in "ab":
+        near = near.join(sketch.select(c("node").alias(e), c("n").alias(f"n{e}"), c("parity").alias(f"p{e}")), e)
+    links = verified(near.filter(may_link(c("na"), c("pa"), c("nb"), c("pb"), percent)).select("a", "b").distinct(), docs, n, percent)
     label = written(components(links), "labels")
 
     members = nodes.join(nodes.groupBy("gkey", "size").agg(F.min("node").alias("gid")), ["gkey", "size"]).select("gid", "node")
@@ -220,9 +236,11 @@ def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     x, y = (per.select("token", "own", *[c(k).alias(f"{k}_{s}") for k in ("component", "lo", "hi")]) for s in "xy")
     meet = x.join(y, ["token", "own"]).filter((c("component_x") < c("component_y")) & (c("own") | (100 * c("hi_x") >= percent * c("lo_y")) & (100 * c("hi_y") >= percent * c("lo_x"))))
     meet = meet.select("token", "own", "component_x", "component_y")
-    side = lambda s: full_lists.select("token", own.alias("own"), *[c(k).alias(f"{k}_{s}") for k in ("component", "size", "pos", "node")])
-    far = meet.join(side("x"), ["token", "own", "component_x"]).join(side("y"), ["token", "own", "component_y"])
-    far = far.filter(c("own") | fits(c("size_x"), c("pos_x"), c("size_y"), c("pos_y"))).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    some = full_lists.withColumn("own", own).join(mixed, ["token", "own"], "left_semi").join(sketch, "node")
+    side = lambda s: some.select("token", "own", *[c(k).alias(f"{k}_{s}") for k in ("component", "size", "pos", "node", "n", "parity")])
+    pair = c("own") | fits(c("size_x"), c("pos_x"), c("size_y"), c("pos_y"))
+    far = meet.join(side("x"), ["token", "own", "component_x"]).join(side("y"), ["token", "own", "component_y"]).filter(pair & may_link(c("n_x"), c("parity_x"), c("n_y"), c("parity_y"), percent))
+    far = far.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     more = verified(far, docs, n, percent)
     final = written(components(links.union(more)), "labels")
 
