@@ -16,9 +16,9 @@ table gives no rows; further columns are ignored; a text of any length is cut in
 
 from __future__ import annotations
 
+import json
 import re
 import sys
-import unicodedata
 import zlib
 from array import array
 
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.word_bpe import byte_alphabet
+
 WINDOW = 2048
 END_ID = 1
 BLOCK = 1 << 22
-CACHE = 400_000
 
 
 class CapacityTree:
@@ -71,37 +72,35 @@ class CapacityTree:
         return room, window
 
 
+#: Fixed value: the split of byte-level pre-tokenizers.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Tokens:
-    """ids of a text as little-endian 32-bit bytes; equal to the library's, with a cache of pre-tokens."""
+    """ids of a text as little-endian 32-bit bytes, equal to the tokenizers library's.
+
+    Where the ids of the vocabulary are in the order of its merges, texts of common characters without special strings go
+    through the faster rank-based encoder over the same file; all others go through the library itself.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        common = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070))]
-        kinds = {k: "".join(re.escape(c) for c in common if unicodedata.category(c)[0] == k) for k in "LN"}
-        space = r"\t-\r \x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f"
-        letter, digit, mark = f"[{kinds['L']}]+", f"[{kinds['N']}]+", f"[^{space}{kinds['L']}{kinds['N']}]+"
-        self.pieces = re.compile(f" ?{letter}|'(?:s|t|re|ve|m|ll|d)| ?{digit}| ?{mark}|[{space}]+(?![^{space}])|[{space}]+").findall
         self.rare = re.compile(r"[^\x00-\u024f\u2000-\u206f]").search
-        lib = self.lib
-
-        class Cache(dict):
-            def __missing__(self, piece: str) -> bytes:
-                got = _packed(lib.encode(piece, add_special_tokens=False).ids)
-                if len(self) >= CACHE:
-                    self.clear()
-                if len(piece) <= 64:
-                    self[piece] = got
-                return got
-
-        self.cache = Cache()
+        spec = json.load(open(path, encoding="utf-8"))
+        vocab, byte = spec["model"]["vocab"], {c: b for b, c in enumerate(byte_alphabet())}
+        made = [vocab["".join(m)] for m in spec["model"]["merges"]]
+        ordered = made == sorted(made) and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in self.special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy if ordered else None
 
     def __call__(self, text: str) -> bytes:
-        if self.rare(text) or any(s in text for s in self.special):
+        if self.fast is None or self.rare(text) or any(s in text for s in self.special):
             return _packed(self.lib.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.cache.__getitem__, self.pieces(text)))
+        return self.fast(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def _packed(ids) -> bytes:
