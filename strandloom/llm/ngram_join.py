@@ -7,8 +7,8 @@ their first n - ceil(percent * n / 100) + 1 elements in any common order; the or
      the same whatever it says.
   2. Documents with equal sets become one node; nodes with equal size and prefix become one group.
   3. Groups that share a prefix element, fit in size and whose positions leave enough overlap are candidates. Instead of all
-     pairs of a list, first only neighbours in it (and neighbours among a group's members) are verified; connected
-     components of these links follow. Then candidates are enumerated only between members of different components, which
+     pairs of a list, first a document's nearest of few is verified: of its neighbours in lists, of each list's document
+     with the earliest place, and of its neighbour among its group's members; connected components of these links follow. Then candidates are enumerated only between members of different components, which
      are aggregated to (element, component) rows first, so that a large group of near copies costs its size, not its square.
      A pair also has to pass a parity sketch: sets differ in at least as many elements as their SKETCH parity bits differ.
   4. Verified links of both rounds give the components; every link between different components has been verified.
@@ -43,6 +43,7 @@ RUN = 1 << 20
 BROADCAST_IDS = 2_000_000
 CACHE = 200_000
 SKETCH = 512
+BITMAP = 1 << 28
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -83,9 +84,13 @@ def _batches(out: dict, schema: pa.Schema):
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out.values(), schema, strict=True)], schema=schema)
 
 
-def frequent_shingles(docs: DataFrame, n: int = WORDS, least: int = FREQUENT_FROM, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Upper 32 bits and number of documents of the most frequent shingles, sorted by the former."""
-    bits = int(np.clip(np.ceil(np.log2(4 * max(1, docs.rdd.getNumPartitions()))), 4, 20))
+def shingle_counts(docs: DataFrame, n: int = WORDS, least: int = FREQUENT_FROM, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper 32 bits and number of documents of the most frequent shingles, sorted by the former, and a bitmap of those met twice.
+
+    The bitmap is addressed by the upper bits of a hash and has at most BITMAP bits; sharing of bits only lets more through.
+    """
+    bits = int(np.clip(np.ceil(np.log2(4 * max(1, docs.rdd.getNumPartitions()))), 4, 18))
+    room = int(np.clip(np.ceil(np.log2(512 * max(1, docs.count()))), 18, int(np.log2(BITMAP))))
     schema = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("counts", pa.binary())])
 
     def runs(batches):
@@ -117,79 +122,107 @@ def frequent_shingles(docs: DataFrame, n: int = WORDS, least: int = FREQUENT_FRO
         cs = [np.frombuffer(zlib.decompress(x), "<u4") for x in table.column("counts").to_pylist()]
         k, at = np.unique(np.concatenate(ks), return_inverse=True)
         c = np.bincount(at, weights=np.concatenate(cs)).astype(np.int64)
-        keep = c >= least
-        return pa.table({"k": pa.array(k[keep].astype(np.int64)), "c": pa.array(c[keep])})
-
-    counted = docs.select("text").mapInArrow(runs, "part int, run binary, counts binary").groupBy("part").applyInArrow(merge, "k long, c long")
-    top = counted.orderBy(F.col("c").desc(), "k").limit(most).toArrow()
+        keep, twice = c >= least, np.zeros(1 << max(room - bits, 3), bool)
+        twice[((k[c > 1] >> np.uint32(32 - room)) & np.uint32((1 << (room - bits)) - 1)).astype(np.int64)] = True
+        part = table.column("part")[0].as_py()
+        rows = int(keep.sum())
+        return pa.table({"k": pa.array([*k[keep].tolist(), part], pa.int64()), "c": pa.array([*c[keep].tolist(), 0], pa.int64()), "seen": pa.array([None] * rows + [np.packbits(twice).tobytes()], pa.binary())})
+
+    counted = written(docs.select("text").mapInArrow(runs, "part int, run binary, counts binary").groupBy("part").applyInArrow(merge, "k long, c long, seen binary"), "counts")
+    top = counted.filter("seen is null").select("k", "c").orderBy(F.col("c").desc(), "k").limit(most).toArrow()
     k, c = top.column("k").to_numpy().astype(np.uint32), top.column("c").to_numpy()
+    seen = np.zeros(1 << (room - 3), np.uint8)
+    for r in counted.filter("seen is not null").select("k", "seen").toLocalIterator():
+        seen[r.k << (room - bits - 3) :][: len(r.seen)] = np.frombuffer(r.seen, np.uint8)
     by = np.argsort(k)
-    return k[by], c[by]
+    return k[by], c[by], seen
 
 
 def prefixes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, size, key, prefix) per document: key identifies the set; prefix holds its first elements in the global order."""
+    """(doc_id, size, key, gkey, prefix, parity) per document.
+
+    ``key`` identifies the set, ``gkey`` size and prefix together; ``prefix`` holds the prefix's elements that occur in
+    another document, each with its place in the global order; ``parity`` is the sketch.
+    """
     with small_batches(docs.sparkSession):
-        k, c = frequent_shingles(docs, n)
-    known = docs.sparkSession.sparkContext.broadcast((k, c))
+        known = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, n))
 
     def run(batches):
-        k, c = known.value
-        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+        k, c, seen = known.value
+        shift = np.uint32(32 - int(np.log2(8 * len(seen))))
+        place = pa.struct([("pos", pa.int32()), ("token", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.binary()), ("gkey", pa.int64()), ("prefix", pa.list_(place)), ("parity", pa.list_(pa.int64()))])
         for b in batches:
-            out = {"doc_id": b.column(0), "size": [], "key": [], "prefix": [], "parity": []}
+            size, key, gkey, parity, at, pos, token = [], [], [], [], [0], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, n)
                 m = len(s)
-                out["size"].append(m)
-                out["parity"].append(np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64))
-                out["key"].append(xxhash.xxh3_128_digest(s.tobytes()) if m else b"")
+                size.append(m)
+                key.append(xxhash.xxh3_128_digest(s.tobytes()) if m else b"")
+                parity.append(np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64))
                 if not m:
-                    out["prefix"].append([])
+                    gkey.append(0)
+                    at.append(at[-1])
                     continue
-                p = prefix_length(m, percent)
+                top = (s >> np.uint64(32)).astype(np.uint32)
                 if len(k):
-                    top = (s >> np.uint64(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(k, top), len(k) - 1)
-                    rank = np.where(k[at] == top, c[at], 0)
-                    s = s[np.argsort(rank, kind="stable")]
-                out["prefix"].append(s[:p].astype(np.int64))
-            yield _batches(out, schema)
+                    i = np.minimum(np.searchsorted(k, top), len(k) - 1)
+                    order = np.argsort(np.where(k[i] == top, c[i], 0), kind="stable")[: prefix_length(m, percent)]
+                    s, top = s[order], top[order]
+                else:
+                    s, top = s[: prefix_length(m, percent)], top[: prefix_length(m, percent)]
+                gkey.append(xxhash.xxh3_64_intdigest(s.tobytes(), m) - (1 << 63))
+                bit = top >> shift
+                keep = np.flatnonzero((seen[(bit >> np.uint32(3)).astype(np.int64)] >> (np.uint32(7) - (bit & np.uint32(7))).astype(np.uint8)) & 1)
+                pos.append(keep.astype(np.int32))
+                token.append(s[keep].view(np.int64))
+                at.append(at[-1] + len(keep))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(pos) if pos else [], pa.int32()), pa.array(np.concatenate(token) if token else [], pa.int64())], ["pos", "token"])
+            cols = [b.column(0), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(gkey, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(parity, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size int, key binary, gkey long, prefix array<struct<pos:int,token:bigint>>, parity array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size int, key binary, prefix array<long>, parity array<long>")
+def apart(px, py):
+    """A lower bound of the elements in which two sets differ, from their parity sketches."""
+    return sum((F.bit_count(px[i].bitwiseXOR(py[i])) for i in range(SKETCH // 64)), F.lit(0))
 
 
 def may_link(nx, px, ny, py, percent: int):
     """Whether sets of sizes nx, ny and parity sketches px, py can have the wanted Jaccard."""
-    apart = sum((F.bit_count(px[i].bitwiseXOR(py[i])) for i in range(SKETCH // 64)), F.lit(0))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * apart <= (100 - percent) * (nx + ny))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * apart(px, py) <= (100 - percent) * (nx + ny))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of node ids whose sets have a Jaccard of at least ``percent``/100."""
+    """The pairs (a, b) of node ids whose sets have a Jaccard of at least ``percent``/100; texts meet, as they pack better than sets."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
-    def sets(batches):
-        schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
-        for b in batches:
-            yield _batches({"id": b.column(0), "set": [shingles(t, n).tobytes() for t in b.column(1).to_pylist()]}, schema)
-
     def check(batches):
+        held: dict[str, np.ndarray] = {}
+
+        def shingles_of(t: str) -> np.ndarray:
+            if t not in held:
+                if len(held) >= 64:
+                    held.clear()
+                held[t] = shingles(t, n)
+            return held[t]
+
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = shingles_of(x), shingles_of(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, set binary")
-    joined = pairs.join(found.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    joined = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     with small_batches(docs.sparkSession):
-        return written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct(), "links")
+        return written(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -197,15 +230,17 @@ def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     with small_batches(docs.sparkSession):
         rows = written(prefixes(docs, n, percent), "prefixes")
     full = rows.filter("size > 0")
-    nodes = full.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    nodes = written(nodes.filter("node is not null").withColumn("gkey", F.xxhash64("size", "prefix")), "nodes")
+    nodes = full.groupBy("key").agg(F.min("doc_id").alias("node"), *[F.first(x).alias(x) for x in ("size", "gkey", "prefix", "parity")])
+    nodes = written(nodes.filter("node is not null"), "nodes")
     groups = nodes.groupBy("gkey", "size").agg(F.min("node").alias("gid"), F.first("prefix").alias("prefix"))
 
     by = Window.partitionBy("token").orderBy("size", "gid")
     last = lambda c: F.lag(c).over(by)
-    lists = groups.select("gid", "size", F.posexplode("prefix").alias("pos", "token"))
+    least_pos = Window.partitionBy("token").orderBy("pos", "size", "gid")
+    lists = groups.select("gid", "size", F.explode("prefix").alias("p")).select("gid", "size", "p.pos", "p.token")
     lists = lists.withColumn("prev", last("gid")).withColumn("prev_size", last("size")).withColumn("prev_pos", last("pos")).withColumn("more", F.lead("gid").over(by))
-    lists = written(lists.filter("prev is not null or more is not null"), "lists")
+    lists = lists.filter("prev is not null or more is not null").withColumn("hub", F.first(F.struct("gid", "size", "pos")).over(least_pos))
+    lists = written(lists.drop("more"), "lists")
 
     def fits(nx, px, ny, py):
         """Sizes allow the similarity, and so do the elements that may follow the shared one."""
@@ -215,12 +250,16 @@ def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
 
     c = F.col
     chain = lists.filter(c("prev").isNotNull() & fits(c("size"), c("pos"), c("prev_size"), c("prev_pos"))).select(F.least("prev", "gid").alias("a"), F.greatest("prev", "gid").alias("b"))
+    star = lists.filter((c("hub.gid") != c("gid")) & fits(c("size"), c("pos"), c("hub.size"), c("hub.pos"))).select(F.least("hub.gid", "gid").alias("a"), F.greatest("hub.gid", "gid").alias("b"))
     inside = nodes.withColumn("a", F.lag("node").over(Window.partitionBy("gkey", "size").orderBy("node"))).filter("a is not null").select("a", c("node").alias("b"))
     sketch = nodes.select("node", c("size").alias("n"), "parity")
-    near = chain.union(inside).filter("a <> b").distinct()
+    near = chain.union(star).union(inside).filter("a <> b").distinct()
     for e in "ab":
         near = near.join(sketch.select(c("node").alias(e), c("n").alias(f"n{e}"), c("parity").alias(f"p{e}")), e)
-    links = verified(near.filter(may_link(c("na"), c("pa"), c("nb"), c("pb"), percent)).select("a", "b").distinct(), docs, n, percent)
+    near = written(near.filter(may_link(c("na"), c("pa"), c("nb"), c("pb"), percent)).select("a", "b", apart(c("pa"), c("pb")).alias("d")), "near")
+    # of these only each document's nearest is verified now; the others still meet below, unless they are linked by then
+    best = near.select(c("a").alias("x"), F.struct("d", "a", "b").alias("p")).union(near.select(c("b").alias("x"), F.struct("d", "a", "b").alias("p"))).groupBy("x").agg(F.min("p").alias("p"))
+    links = verified(best.select("p.a", "p.b").distinct(), docs, n, percent)
     label = written(components(links), "labels")
 
     members = nodes.join(nodes.groupBy("gkey", "size").agg(F.min("node").alias("gid")), ["gkey", "size"]).select("gid", "node")
