@@ -8,8 +8,8 @@ their first n - ceil(percent * n / 100) + 1 elements in any common order; the or
   2. Documents with equal sets become one node; nodes with equal size and prefix become one group.
   3. Groups that share a prefix element, fit in size and whose positions leave enough overlap are candidates. Instead of all
      pairs of a list, first a document's nearest of few is verified: of its neighbours in lists, of each list's document
-     with the earliest place, and of its neighbour among its group's members; connected components of these links follow. Then candidates are enumerated only between members of different components, which
-     are aggregated to (element, component) rows first, so that a large group of near copies costs its size, not its square.
+     with the earliest place, and of its neighbour among its group's members; connected components of these links follow. Then candidates are made only between members of different components of a
+     list, those outside its largest component against all, so that a large group of near copies costs its size, not its square.
      A pair also has to pass a parity sketch: sets differ in at least as many elements as their SKETCH parity bits differ.
   4. Verified links of both rounds give the components; every link between different components has been verified.
 
@@ -269,16 +269,15 @@ def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     # size -1: the list of a group's own members, under the group's id; every other list is under its element
     full_lists = written(listed.join(members, "gid").select("token", "size", "pos", "node", "component"), "members")
     own = c("size") < 0
-    per = full_lists.groupBy("token", own.alias("own"), "component").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    mixed = per.groupBy("token", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    per = per.join(mixed, ["token", "own"], "left_semi")
-    x, y = (per.select("token", "own", *[c(k).alias(f"{k}_{s}") for k in ("component", "lo", "hi")]) for s in "xy")
-    meet = x.join(y, ["token", "own"]).filter((c("component_x") < c("component_y")) & (c("own") | (100 * c("hi_x") >= percent * c("lo_y")) & (100 * c("hi_y") >= percent * c("lo_x"))))
-    meet = meet.select("token", "own", "component_x", "component_y")
-    some = full_lists.withColumn("own", own).join(mixed, ["token", "own"], "left_semi").join(sketch, "node")
-    side = lambda s: some.select("token", "own", *[c(k).alias(f"{k}_{s}") for k in ("component", "size", "pos", "node", "n", "parity")])
-    pair = c("own") | fits(c("size_x"), c("pos_x"), c("size_y"), c("pos_y"))
-    far = meet.join(side("x"), ["token", "own", "component_x"]).join(side("y"), ["token", "own", "component_y"]).filter(pair & may_link(c("n_x"), c("parity_x"), c("n_y"), c("parity_y"), percent))
+    # per list its largest component: members of others are held against all, so that a large component costs its size
+    per = full_lists.groupBy("token", own.alias("own"), "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("token", "own").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    some = written(full_lists.withColumn("own", own).join(mixed, ["token", "own"]).join(sketch, "node"), "mixed")
+    side = lambda df, s: df.select("token", "own", *[c(k).alias(f"{k}_{s}") for k in ("component", "top", "size", "pos", "node", "n", "parity")])
+    x, y = side(some.filter("component <> top"), "x"), side(some, "y")
+    once = (c("component_x") != c("component_y")) & ((c("component_y") == c("top_y")) | (c("component_x") < c("component_y")))
+    may = (c("own") | fits(c("size_x"), c("pos_x"), c("size_y"), c("pos_y"))) & may_link(c("n_x"), c("parity_x"), c("n_y"), c("parity_y"), percent)
+    far = x.join(y.withColumnsRenamed({"token": "t", "own": "o"}), (c("token") == c("t")) & (c("own") == c("o")) & once & may)
     far = far.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     more = verified(far, docs, n, percent)
     final = written(components(links.union(more)), "labels")
