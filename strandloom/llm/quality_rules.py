@@ -54,7 +54,8 @@ RULES = (
     Rule("exclamations_per_word", "n_exclaim", "n_words", None, 30),
     Rule("capitals_per_character", "n_capitals", "word_chars", None, 40),
     Rule("stop_words_per_word", "n_stop_words", "n_words", 2, None),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("stutter", "n_adjacent", "n_words", None, 20),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 40),
     Rule("repeated_words", "n_repeat_words", "n_words", None, MAX_REPEAT_PERCENT),
     Rule("words_per_line", "n_words", "n_lines", 100, None),
 )
@@ -109,6 +110,7 @@ def with_quality(docs: DataFrame, text: str = "text", out: str = "__quality", ru
         "n_exclaim": _removed(t, "!"),
         "n_capitals": _removed(t, CAPITALS),
         "n_stop_words": F.size(F.filter(F.split(F.lower(t), "[\\x20\\x09-\\x0D.,;:!?]+"), lambda w: w.isin(*STOP_WORDS))).cast("long"),
+        "n_adjacent": F.when(n > 1, F.size(F.filter(F.zip_with(F.slice(F.col(ws), 1, F.greatest(n - 1, F.lit(1))), F.slice(F.col(ws), 2, F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda x: x))).otherwise(0).cast("long"),
         "n_lines": F.size(ls).cast("long"),
         "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(F.col(ls)))).cast("long"),
         "n_repeat_words": repeat_words(F.col(ws), n),
@@ -129,7 +131,7 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, then the further metrics."""
     q = with_quality(docs.select("doc_id", "text"), rules=rules)
     first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return q.select("doc_id", *[f"__quality.{c}" for c in [*first, "n_exclaim", "n_capitals", "n_stop_words", "n_lines"]])
+    return q.select("doc_id", *[f"__quality.{c}" for c in [*first, "n_exclaim", "n_capitals", "n_stop_words", "n_adjacent", "n_lines"]])
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -154,6 +156,7 @@ def metrics_sql(table: str = "documents") -> str:
               (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaim,
               (length(t) - length(regexp_replace(t, '{capitals}', '', 'g')))::BIGINT AS n_capitals,
               len(list_filter(regexp_split_to_array(lower(t), '[\\x20\\x09-\\x0D.,;:!?]+'), lambda x: x IN ({stops})))::BIGINT AS n_stop_words,
+              len(list_filter(list_transform(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]), lambda x: x))::BIGINT AS n_adjacent,
               len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
               coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
             FROM q_w LEFT JOIN q_r USING (rid)),
@@ -162,4 +165,4 @@ def metrics_sql(table: str = "documents") -> str:
 
 def oracle() -> str:
     return metrics_sql() + """
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_exclaim, n_capitals, n_stop_words, n_lines FROM q_v"""
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_exclaim, n_capitals, n_stop_words, n_adjacent, n_lines FROM q_v"""
