@@ -186,8 +186,8 @@ def is_bridge(text) -> Column:
 def final_answer(text) -> Column:
     """TXT-17: what follows the first ``FINAL:`` line, else the last line that is not empty; one quote off each end."""
     lines = F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x))
-    marked = F.element_at(F.filter(lines, lambda x: F.upper(x).startswith("FINAL:")), 1)
-    last = F.element_at(F.filter(lines, lambda x: x != ""), -1)
+    marked = F.try_element_at(F.filter(lines, lambda x: F.upper(x).startswith("FINAL:")), F.lit(1))
+    last = F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(-1))
     chosen = F.when(F.exists(lines, lambda x: F.upper(x).startswith("FINAL:")), F.trim(F.substring(marked, 7, 1 << 20))).otherwise(F.coalesce(last, F.lit("")))
     return F.regexp_replace(F.regexp_replace(chosen, "^[\"']", ""), "[\"']$", "")
 

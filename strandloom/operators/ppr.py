@@ -56,8 +56,9 @@ def run(transitions: DataFrame, seeds: DataFrame, alpha: float = 0.5, epsilon: f
 
 
 def fixed_iterations(transitions: DataFrame, seeds: DataFrame, iterations: int, alpha: float = 0.5) -> DataFrame:
-    """GR-8 as one lazy plan of a fixed number of iterations."""
-    base = seeds_in_graph(transitions, seeds)
+    """GR-8 as one plan of a fixed number of iterations over transitions and teleport that are written once."""
+    transitions = cut(transitions, "transitions")
+    base = cut(seeds_in_graph(transitions, seeds), "teleport")
     score = base.select("node_id", F.col("teleport").alias("score"))
     for _ in range(iterations):
         flow = transitions.join(score.withColumnRenamed("node_id", "src"), "src").groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("in")).withColumnRenamed("dst", "node_id")

@@ -84,7 +84,7 @@ def test_heading_chunks():
 def test_paragraphs_overlap():
     body = "\n\n".join(f"{i} " + "w " * 299 for i in range(5))
     parts = [t for t, *_ in chunking.chunk(body)]
-    assert len(parts) == 4 and all(b.startswith(f"{i + 1} ") for i, b in enumerate(parts))
+    assert len(parts) == 4 and all(b.startswith(f"{i} ") for i, b in enumerate(parts))
 
 
 def test_japanese_headings_are_split():
