@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import mil_quality, mixing, ngram_join, packing, pii, ppm, quality_rules, suffix_dedup, syncmers, word_bpe
+from strandloom.llm import mil_quality, mixing, ngram_join, oracles, packing, pii, ppm, quality_rules, suffix_dedup, syncmers, word_bpe
 from strandloom.llm.common import documents, labels
 
 
@@ -22,4 +22,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle()}
+    return {
+        "op1_quality_rules": quality_rules.oracle(),
+        "op3_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op6_mixing": mixing.oracle(),
+        "op9_ngram_join": oracles.NGRAM_JOIN,
+    }
