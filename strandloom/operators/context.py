@@ -11,7 +11,8 @@ from strandloom.functions import text
 def within_budget(items: DataFrame, block: Column, limit: int, used: Column | int = 0) -> DataFrame:
     """Rows (with ``rank``) of the longest prefix whose summed tokens stay within the limit: building stops at the first overflow."""
     start = used if isinstance(used, Column) else F.lit(used)
-    tokens = items.withColumn("block", block).withColumn("tokens", text.context_tokens("block"))
+    # a block that is not empty has a token at least: no more than ``limit`` of them can fit, and the rest is never gathered
+    tokens = items.orderBy("rank").limit(limit + 1).withColumn("block", block).withColumn("tokens", text.context_tokens("block"))
     running = F.sum("tokens").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return tokens.withColumn("running", start + running).filter(F.col("running") <= limit)
 

@@ -66,6 +66,12 @@ def fixed_iterations(transitions: DataFrame, seeds: DataFrame, iterations: int,
     return score
 
 
+def normed(rows: DataFrame, size=lambda c: F.col(c)) -> DataFrame:
+    """Scores over their sum where that is positive; the sum is one broadcast row, so no task sees all rows."""
+    total = rows.agg(F.sum(size("score")).alias("total"))
+    return rows.join(F.broadcast(total)).select("node_id", F.when(F.col("total") > 0, F.col("score") / F.col("total")).otherwise(F.col("score")).alias("score"))
+
+
 def seed_vector(facts: DataFrame, expanded: DataFrame, passages: DataFrame, schemas: DataFrame) -> DataFrame:
     """GR-11: one (node_id, score) table; later slots overwrite earlier ones, except that expanded facts never do."""
     slots = facts.withColumn("slot", F.lit(1)).unionByName(expanded.withColumn("slot", F.lit(0))).unionByName(passages.withColumn("slot", F.lit(2))).unionByName(schemas.withColumn("slot", F.lit(3)))
@@ -87,9 +93,7 @@ def blend(original: DataFrame, hop1: DataFrame, hop2: DataFrame, weights=(0.4, 0
     for df, w in zip((original, hop1, hop2), weights, strict=True):
         part = df.select("node_id", (F.col("score") * w).alias("score"))
         rows = part if rows is None else rows.unionByName(part)
-    summed = rows.groupBy("node_id").agg(F.sum("score").alias("score"))
-    total = F.sum("score").over(Window.partitionBy())
-    return summed.withColumn("total", total).select("node_id", F.when(F.col("total") > 0, F.col("score") / F.col("total")).otherwise(F.col("score")).alias("score"))
+    return normed(rows.groupBy("node_id").agg(F.sum("score").alias("score")))
 
 
 def inject_dictionary_facts(base: DataFrame, entities: DataFrame, facts: DataFrame, per_entity: int = 3, total: int = 10) -> DataFrame:
@@ -102,9 +106,7 @@ def inject_dictionary_facts(base: DataFrame, entities: DataFrame, facts: DataFra
     chosen = ranked.orderBy("fact_id").limit(total).select(F.concat(F.lit("fact:"), "fact_id").alias("node_id"))
     top = base.agg(F.max(F.when(F.col("score") > 0, F.col("score"))).alias("top"))
     added = chosen.join(base.select("node_id"), "node_id", "left_anti").join(F.broadcast(top)).select("node_id", (0.1 * F.coalesce("top", F.lit(0.0))).alias("score"))
-    rows = base.select("node_id", "score").unionByName(added)
-    norm = F.sum(F.abs("score")).over(Window.partitionBy())
-    return rows.withColumn("norm", norm).select("node_id", F.when(F.col("norm") > 0, F.col("score") / F.col("norm")).otherwise(F.col("score")).alias("score"))
+    return normed(base.select("node_id", "score").unionByName(added), F.abs)
 
 
 def paper_seeds(fact_scores: DataFrame, schema_scores: DataFrame, passage_scores: DataFrame, mentions: DataFrame, edges: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -117,5 +119,4 @@ def paper_seeds(fact_scores: DataFrame, schema_scores: DataFrame, passage_scores
     idf = per.groupBy("entity_key").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("entity_key", F.log(F.col("n") / F.col("df")).alias("idf"))
     weight = per.join(idf, "entity_key").groupBy("passage_id").agg((F.sum("idf") / F.log(F.count(F.lit(1)) + 1.0)).alias("x"))
     pas = passage_scores.join(weight, "passage_id").select(F.concat(F.lit("passage:"), "passage_id").alias("node_id"), (F.col("score") * alpha / (1 + F.exp(-F.col("x")))).alias("score"))
-    rows = ent.unionByName(sch).unionByName(pas)
-    return rows.withColumn("t", F.sum("score").over(Window.partitionBy())).select("node_id", F.when(F.col("t") > 0, F.col("score") / F.col("t")).otherwise(F.col("score")).alias("score"))
+    return normed(ent.unionByName(sch).unionByName(pas))

@@ -91,7 +91,8 @@ def vector_slots(vectors: DataFrame, query: list[float], slots: dict[str, int],
     """TOP-6: the nearest of each namespace, each with its own k, in one pass."""
     s = cosine_scores(vectors.filter(F.col("namespace").isin(*slots)), query, threshold)
     k = F.coalesce(*[F.when(F.col("namespace") == n, F.lit(v)) for n, v in slots.items()])
-    return ranked(s, "namespace", "id").filter(F.col("rank") <= k)
+    # the literal bound lets each task keep only its best of a namespace before the shuffle
+    return ranked(s, "namespace", "id").filter(F.col("rank") <= max(slots.values())).filter(F.col("rank") <= k)
 
 
 def vector_overfetch(vectors: DataFrame, query: list[float], k: int, namespace: str, threshold: float, factor: int = 10) -> DataFrame:
@@ -154,9 +155,8 @@ def namespaced(df: DataFrame, columns: list[str], db: str = "db_id") -> DataFram
 def ranked_layers(scores: DataFrame, top_k: int, top_m: int) -> DataFrame:
     """TOP-8: the best passages, and the best nodes of all other layers together; facts are taken from these only after the cut."""
     is_passage = F.col("node_id").startswith("passage:")
-    slot = F.when(is_passage, "passage").otherwise("other")
-    r = ranked(scores.withColumn("slot", slot), "slot", "node_id")
-    return r.filter(F.when(F.col("slot") == "passage", F.col("rank") <= top_k).otherwise(F.col("rank") <= top_m)).filter(is_passage | F.col("node_id").startswith("fact:"))
+    best = lambda part, n: ranked(scores.filter(part).orderBy(F.col("score").desc(), "node_id").limit(n).withColumn("slot", F.lit(0)), "slot", "node_id").drop("slot")
+    return best(is_passage, top_k).unionByName(best(~is_passage, top_m).filter(F.col("node_id").startswith("fact:")))
 
 
 def materialize(ranked_nodes: DataFrame, items: DataFrame, key: str, prefix: str) -> DataFrame:

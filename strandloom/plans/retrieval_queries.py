@@ -67,7 +67,7 @@ def first_query(s, d):
 
 def vector_hits(s, d):
     v = tables.vectors(s, d).select("id", "embedding")
-    return retrieval.ranked(retrieval.cosine_scores(v, query_vector(s, d)).withColumn("g", F.lit(0)), "g", "id").filter("rank <= 20").select(F.col("id").alias("doc_id"), "score", "rank")
+    return retrieval.ranked(retrieval.vector_top(v, query_vector(s, d), 20).withColumn("g", F.lit(0)), "g", "id").select(F.col("id").alias("doc_id"), "score", "rank")
 
 
 def q_hybrid(s, d):
