@@ -3,7 +3,8 @@
 A text is a sequence of tokens (pieces of at most 16 characters of its words). A run of K tokens is a closed syncmer if the
 least hash among its inner runs of S tokens stands at its first or last place; that depends on the run alone, so equal
 passages choose equal anchors wherever they stand. The fingerprint is the least SKETCH hashes of the text's syncmers, in hex.
-Likeness of two fingerprints is the share of the least SKETCH hashes of their union that both have (an estimate of Jaccard).
+Likeness of two fingerprints is their containment: of the hashes up to the lower of their ends (a fingerprint that is not full
+has no end), those that both have over those of the one that has fewer.
 
 The edited text takes its end from the next document by descending id. Documents are dealt to ranges of ids of about
 ``PER_RANGE`` documents; within a range a window gives the next one, and each range gets a copy of the first row of the
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import let
 
-K = 5
+K = 4
 S = 2
 SKETCH = 128
 PER_RANGE = 512
@@ -37,13 +38,10 @@ def syncmers(text: Column) -> Column:
         n = F.size(h)
         runs = F.greatest(n - K + 1, F.lit(0))
 
-        def over(g: Column) -> Column:  # g: hashes of inner runs of S = 2 tokens; a K-run has the four g[i] .. g[i + 3]
-            edge = F.zip_with(F.slice(g, 1, runs), shifted(g, K - S, runs), lambda a, b: F.least(a, b))
-            inner = F.zip_with(shifted(g, 1, runs), shifted(g, 2, runs), lambda a, b: F.least(a, b))
-            whole = F.zip_with(F.zip_with(F.slice(g, 1, runs), shifted(g, 2, runs), lambda a, b: F.xxhash64(a, b)), shifted(h, K - 1, runs), lambda a, b: F.xxhash64(a, b))
-            is_closed = F.zip_with(edge, inner, lambda e, i: e <= i)
-            picked = F.filter(F.zip_with(is_closed, whole, lambda c, w: F.when(c, w)), lambda x: x.isNotNull())
-            return F.slice(F.sort_array(F.array_distinct(picked)), 1, SKETCH)
+        def over(g: Column) -> Column:  # g: hashes of inner runs of S = 2 tokens; a run of K = 4 has the three g[i] .. g[i + 2]
+            edge = F.zip_with(F.slice(g, 1, runs), shifted(g, K - S, runs), lambda a, b: F.struct(F.least(a, b).alias("least"), F.xxhash64(a, b).alias("whole")))
+            closed = F.zip_with(edge, shifted(g, 1, runs), lambda e, inner: F.when(e.least <= inner, e.whole))
+            return F.slice(F.sort_array(F.array_distinct(F.filter(closed, lambda x: x.isNotNull()))), 1, SKETCH)
 
         pairs = F.zip_with(F.slice(h, 1, n - 1), shifted(h, 1, n), lambda a, b: F.xxhash64(a, b))
         return F.when(n >= K, let(pairs, over)).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
@@ -52,9 +50,15 @@ def syncmers(text: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, 1.0).otherwise(both / F.size(union))
+    def ended(pair: Column) -> Column:
+        last = lambda x: F.when(F.size(x) < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.array_max(x))
+        end = F.least(last(pair.a), last(pair.b))
+        under = lambda x: let(end, lambda e: F.size(F.filter(x, lambda h: h <= e)))
+        both = let(end, lambda e: F.size(F.filter(F.array_intersect(pair.a, pair.b), lambda h: h <= e)))
+        fewer = F.least(under(pair.a), under(pair.b))
+        return F.when((F.size(pair.a) == 0) & (F.size(pair.b) == 0), 1.0).when(fewer == 0, 0.0).otherwise(both / fewer)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), ended)
 
 
 def digest(sketch: Column) -> Column:
