@@ -47,7 +47,7 @@ RUN_ANCHORS = 1 << 20
 RUN_SUFFIXES = 1 << 16
 GROUP = 20_000
 PAIRS = 6
-BROADCAST_DOCS = 1_000_000
+BROADCAST_ITEMS = 1_000_000  # documents and spans together: some 50 MB
 NO_ID = -(1 << 63)
 _ODD = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -496,9 +496,26 @@ def _by_window(rows: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, keep_text: bool = False, group_limit: int = GROUP) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if asked for)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    spans = repeated(docs, group_limit).groupBy("doc_id", "hash").agg(F.collect_set(F.col("s") * (1 << 31) + F.col("e")).alias("spans"))
-    spans = written(spans, "spans").withColumnsRenamed({"doc_id": "__id", "hash": "__hash"})
-    if spans.count() <= BROADCAST_DOCS:
+    found = repeated(docs, group_limit).groupBy("doc_id", "hash").agg(F.collect_set(F.col("s") * (1 << 31) + F.col("e")).alias("spans"))
+
+    def union(batches):
+        """Overlapping and touching intervals as one."""
+        for b in batches:
+            out = []
+            for packed in b.column(2).to_pylist():
+                merged = []
+                for x in sorted(packed):
+                    s, e = x >> 31, x & ((1 << 31) - 1)
+                    if merged and s <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], e)
+                    else:
+                        merged.append([s, e])
+                out.append([(s << 31) + e for s, e in merged])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "hash", "spans"])
+
+    spans = written(found.mapInArrow(union, "doc_id long, hash long, spans array<long>"), "spans").withColumnsRenamed({"doc_id": "__id", "hash": "__hash"})
+    n_docs, n_spans = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    if n_docs + n_spans <= BROADCAST_ITEMS:
         spans = F.broadcast(spans)
     rows = docs.withColumn("__id2", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__hash2", F.xxhash64("text"))
     rows = rows.join(spans, (F.col("__id2") == F.col("__id")) & (F.col("__hash2") == F.col("__hash")), "left").select("doc_id", "text", "spans")
