@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import ids, text
-from strandloom.operators import extraction, lexicon, memory, stats
+from strandloom.operators import context, extraction, lexicon, memory, providers, stats
 from strandloom.plans.graph_queries import RELATIONS, edges, nodes, relations
 from strandloom.sources import store, tables
 from strandloom.sources.tables import table, with_ctes
@@ -374,7 +374,33 @@ def q_corpora(s, d):
     return t.groupBy(F.col("lang").alias("corpus_id")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("first"))
 
 
+def q_vector_inputs(s, d):
+    return providers.vector_inputs(nodes(s, d)).select("node_id", "dimensions", "ok")
+
+
+def sampled_reply(prompts, sample):
+    """A stand-in for a model: the first word, or at the second sample the last; silent on texts that begin with a vowel."""
+    out = []
+    for p in prompts:
+        w = (p or "").split(" ")
+        out.append(None if not p or p[:1].lower() in "aeiou" else f"well\nFINAL: {w[0] if sample != 1 else w[-1]}")
+    return out
+
+
+def q_answers(s, d):
+    c = table(s, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role").alias("id"), F.split(F.trim("text"), "\n")[0].alias("prompt")).dropDuplicates(["id"]).filter(r"prompt rlike '^[A-Za-z]+ ' and not prompt rlike '[\'\"]'")
+    return providers.answers(c, "id", "prompt", sampled_reply, fallback=F.lit("(template)")).select("id", "answer")
+
+
+def q_second_hop(s, d):
+    c = table(s, d, "conversations").select("conv_id", "turn", F.split("text", " ")[0].alias("a"), "text")
+    return c.select("conv_id", "turn", providers.second_hop(F.lit("Where is {hop1Answer}?"), F.col("a"), context.grounded("a", "text")).alias("question")).groupBy("question").agg(F.count(F.lit(1)).alias("n")).filter("question is not null and n > 2")
+
+
 QUERIES = {
+    "gr4_snk8_vector_inputs": (q_vector_inputs, f"{with_ctes('nodes')} SELECT node_id, 8 AS dimensions, true AS ok FROM nodes"),
+    "qa1_answers": (q_answers, r"""WITH c AS (SELECT DISTINCT ON (conv_id, turn, role) conv_id || ':' || turn || ':' || role AS id, string_split(trim(text), chr(10))[1] AS p FROM conversations) SELECT id, CASE WHEN lower(p[1]) IN ('a', 'e', 'i', 'o', 'u') THEN '(template)' ELSE string_split(p, ' ')[1] END AS answer FROM c WHERE regexp_matches(p, '^[A-Za-z]+ ') AND NOT regexp_matches(p, '[''"]')"""),
+    "qa6_second_hop": (q_second_hop, None),
     "agg6_group_schemas": (q_group, f"{with_ctes('facts')} SELECT schema_id, count(*) AS frequency, string_agg(DISTINCT head_type, ',') AS aliases, count(DISTINCT doc_id) AS n_docs, true AS consistent FROM facts GROUP BY 1"),
     "agg7_fold_facts": (q_fold, f"{with_ctes('facts')} SELECT fact_id, CASE WHEN doc_id % 2 = 0 THEN 0.99 ELSE confidence END AS confidence, passage_id || CASE WHEN doc_id % 2 = 0 THEN ',passage:again:0' ELSE '' END AS passage_ids, doc_id::VARCHAR AS doc_ids, doc_id % 4 <> 0 AS consistent FROM facts"),
     "idx2_contributions": (q_contributions, f"{with_ctes('facts')} SELECT schema_id, count(DISTINCT doc_id) AS n FROM facts WHERE doc_id % 2 = 1 GROUP BY 1"),
