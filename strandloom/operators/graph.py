@@ -174,3 +174,15 @@ def merge_articles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     out = out.select(F.coalesce("into_src", "src").alias("src"), F.coalesce("into_dst", "dst").alias("dst"), "relation", "weight", moved.alias("moved"))
     out = out.filter(~(F.col("moved") & (F.col("src") == F.col("dst")))).drop("moved").dropDuplicates(["src", "dst", "relation"])
     return nodes.join(the.select("node_id"), "node_id", "left_anti"), out
+
+
+def canonical_nodes(nodes: DataFrame, schemas: DataFrame) -> DataFrame:
+    """GR-2: nodes with a marker: a schema node carries its schema's state, other nodes none."""
+    s = schemas.select(ids.node_id("schema", "schema_id").alias("node_id"), F.col("state").alias("marker"))
+    return nodes.join(s, "node_id", "left")
+
+
+def select_nodes(nodes: DataFrame, corpus: str | None = None, layer: str | None = None) -> DataFrame:
+    """FLT-1, FLT-3: a tenant's nodes, or those of a layer; both predicates reach the scan."""
+    out = nodes if corpus is None else nodes.filter(F.col("corpus_id") == corpus)
+    return out if layer is None else out.filter(F.col("layer") == layer)

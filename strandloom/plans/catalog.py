@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import graph_queries, memory_queries, retrieval_queries, text_queries
+from strandloom.plans import filter_queries, graph_queries, memory_queries, retrieval_queries, text_queries
 
-ALL = {**text_queries.QUERIES, **retrieval_queries.QUERIES, **graph_queries.QUERIES, **memory_queries.QUERIES}
+ALL = {**text_queries.QUERIES, **retrieval_queries.QUERIES, **graph_queries.QUERIES, **memory_queries.QUERIES, **filter_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,7 @@ QUERIES = {
         s AS (SELECT h.doc_id, h.c, array_to_string(list(q.i0 ORDER BY q.c).list_transform(lambda v: 'Part ' || v), ' / ') AS section FROM h JOIN h q ON q.doc_id = h.doc_id AND q.c <= h.c WHERE q.c = h.c OR q.level < (SELECT min(m.level) FROM h m WHERE m.doc_id = h.doc_id AND m.c > q.c AND m.c <= h.c) GROUP BY h.doc_id, h.c)
         SELECT h.doc_id, h.c::INT AS chunk_index, section, length(regexp_replace(t, '^\s+|\s+$', '', 'g'))::INT AS chars, a::INT AS offset_start, least(z, total)::INT AS offset_end FROM h JOIN s USING (doc_id, c)""",
     ),
-    "chk2_chk4_chunks": (q_chunks, None),
+    "chk2_chk3_chk4_chunks": (q_chunks, r"""SELECT doc_id, doc_id || ':0' AS chunk_id, 0 AS chunk_index, length(t)::INT AS chars, 0 AS depth, 0 AS offset_start, length(t)::INT AS offset_end, 'en' AS language FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents) WHERE t <> ''"""),
     "chk5_sentence_chunks": (q_sentence_chunks, None),
     "ext1_entities": (q_entities, None),
     "ext2_noun_phrases": (q_phrases, r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b'))) AS phrase FROM documents"),
