@@ -335,24 +335,25 @@ def _bitmap(docs: DataFrame, parts: int) -> tuple[np.ndarray, list[bytes]]:
 
     found = written(docs.select("text").mapInArrow(runs, "part int, run binary").groupBy("part").applyInArrow(merge, "part int, run binary"), "anchors")
     n = found.filter("part >= 0").agg(F.coalesce(F.sum(F.octet_length("run")), F.lit(0))).first()[0] // 8
-    size = int(np.clip(2 ** np.ceil(np.log2(64 * max(n, 1))), 1 << 12, BITMAP))
-    shift = np.uint64(40 - int(np.log2(size)))
+    room = int(np.clip(np.ceil(np.log2(32 * max(n, 1))), bits + 3, int(np.log2(BITMAP))))
 
     def segments(batches):
-        """Bit places, a byte list of distinct ones; their number is bounded by the bitmap."""
+        """A part's stretch of the bitmap, packed: all of them together are as long as the bitmap."""
         for batch in batches:
             for p, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if p >= 0:
-                    run = np.unique(np.frombuffer(run, np.uint64) >> shift).astype("<u4").tobytes()
+                    stretch = np.zeros(1 << (room - bits), bool)
+                    stretch[((np.frombuffer(run, np.uint64) >> np.uint64(40 - room)) & np.uint64((1 << (room - bits)) - 1)).astype(np.int64)] = True
+                    run = np.packbits(stretch).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([run], pa.binary())], schema=schema)
 
-    bitmap, sample = np.zeros(size, bool), []
+    bitmap, sample = np.zeros(1 << (room - 3), np.uint8), []
     for r in found.mapInArrow(segments, "part int, run binary").toLocalIterator():
         if r.part >= 0:
-            bitmap[np.frombuffer(r.run, "<u4")] = True
+            bitmap[r.part << (room - bits - 3) :][: len(r.run)] = np.frombuffer(r.run, np.uint8)
         else:
             sample += [bytes(r.run[i : i + 16]) for i in range(0, len(r.run), 16)]
-    return np.packbits(bitmap), sorted(sample)
+    return bitmap, sorted(sample)
 
 
 def repeated(docs: DataFrame, group_limit: int = GROUP) -> DataFrame:
