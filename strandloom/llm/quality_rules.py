@@ -46,6 +46,12 @@ class Rule:
         parts += [f"100 * {self.metric} <= {self.high} * {self.of}"] if self.high is not None else []
         return " AND ".join(parts)
 
+    def on(self, m: Column) -> Column:
+        """The same over a struct of metrics."""
+        x, y = 100 * m.getField(self.metric), m.getField(self.of)
+        low = x >= self.low * y if self.low is not None else F.lit(True)
+        return low & (x <= self.high * y) if self.high is not None else low
+
 
 #: The thresholds, in percent of the second metric.
 RULES = (
@@ -98,33 +104,40 @@ def repeat_words(ws: Column, n: Column) -> Column:
     return F.when(n > WINDOW, let(h, found)).otherwise(F.lit(0).cast("long"))
 
 
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclaim", "n_capitals", "n_stop_words", "n_adjacent", "n_lines")
+
+
 def with_quality(docs: DataFrame, text: str = "text", out: str = "__quality", rules=RULES) -> DataFrame:
     """``docs`` with a struct column ``out`` of all metrics, base_failed and kept."""
-    t, ws, ls, lw = F.coalesce(F.col(f"`{text}`"), F.lit("")), "__sl_words", "__sl_lines", "__sl_base"
-    df = docs.withColumn(ws, words(t)).withColumn(ls, F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    n = F.size(ws)
-    metrics = {
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": _removed(t, SYMBOLS),
-        "n_exclaim": _removed(t, "!"),
-        "n_capitals": _removed(t, CAPITALS),
-        "n_stop_words": F.size(F.filter(F.split(F.lower(t), "[\\x20\\x09-\\x0D.,;:!?]+"), lambda w: w.isin(*STOP_WORDS))).cast("long"),
-        "n_adjacent": F.when(n > 1, F.size(F.filter(F.zip_with(F.slice(F.col(ws), 1, F.greatest(n - 1, F.lit(1))), F.slice(F.col(ws), 2, F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda x: x))).otherwise(0).cast("long"),
-        "n_lines": F.size(ls).cast("long"),
-        "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(F.col(ls)))).cast("long"),
-        "n_repeat_words": repeat_words(F.col(ws), n),
-    }
-    df = df.withColumn(lw, F.struct(*[v.alias(k) for k, v in metrics.items()]))
-    field = {k: F.col(f"{lw}.{k}") for k in metrics}
-    failed, kept = _over(base_sql(), lw, metrics), _over(verdict_sql(rules), lw, metrics)
-    return df.withColumn(out, F.struct(*[c.alias(k) for k, c in field.items()], failed.alias("base_failed"), (~failed & kept).alias("kept"))).drop(ws, ls, lw)
-
-
-def _over(sql: str, struct: str, names) -> Column:
-    import re
-
-    return F.expr(re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: f"`{struct}`.{m[0]}", sql))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def metrics(x: Column) -> Column:
+        ws, ls, n = x.words, x.lines, F.size(x.words)
+        pairs = F.zip_with(F.slice(ws, 1, F.greatest(n - 1, F.lit(1))), F.slice(ws, 2, F.greatest(n, F.lit(1))), lambda a, b: a == b)
+        values = {
+            "n_words": n.cast("long"),
+            "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
+            "n_symbols": _removed(t, SYMBOLS),
+            "n_exclaim": _removed(t, "!"),
+            "n_capitals": _removed(t, CAPITALS),
+            "n_stop_words": F.size(F.filter(F.split(F.lower(t), "[\\x20\\x09-\\x0D.,;:!?]+"), lambda w: w.isin(*STOP_WORDS))).cast("long"),
+            "n_adjacent": F.when(n > 1, F.size(F.filter(pairs, lambda same: same))).otherwise(0).cast("long"),
+            "n_lines": F.size(ls).cast("long"),
+            "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
+            "n_repeat_words": repeat_words(ws, n),
+        }
+        return F.struct(*[values[k].alias(k) for k in METRICS])
+
+    def judged(m: Column) -> Column:
+        failed = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words)
+        kept = ~failed
+        for r in rules:
+            kept = kept & r.on(m)
+        return F.struct(*[m.getField(k).alias(k) for k in METRICS], failed.alias("base_failed"), kept.alias("kept"))
+
+    # each step is bound once: a filter on the verdict would otherwise compute words and metrics again wherever they are named
+    return docs.withColumn(out, let(let(F.struct(words(t).alias("words"), lines.alias("lines")), metrics), judged))
 
 
 def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
