@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions import ids, text
+from strandloom.functions import text
 from strandloom.sources.store import cut
 
 # --- fixed values: patterns of alias and hypernym evidence ---------------------------------------------------------------
@@ -255,4 +255,4 @@ def hints(matches: DataFrame, least: float = 0.7) -> DataFrame:
     return matches.filter(F.col("confidence") >= least)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "Window", "F", "ids", "text", "cut")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "Window", "F", "text", "cut")]
