@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over documents, each calling one operator of strandloom.llm.
 
-Rejected documents go (1), one document of each near-duplicate group stays (9), personal data is replaced in the text (5),
+Rejected documents go (1), one document of each near-duplicate group stays (9; five-word shingles, Jaccard 0.8), personal data is replaced in the text (5),
 documents are sampled to target weights (6), and what is left is packed into token windows (7). Every stage but the last
 returns the columns of documents. Nulls, ties and odd inputs are treated as the operators' docstrings say.
 """
@@ -12,7 +12,7 @@ from strandloom.llm.common import written
 
 STAGES = [
     ("quality_rules", lambda spark, docs, sf_dir: quality_rules.keep_good(docs)),
-    ("ngram_join", lambda spark, docs, sf_dir: ngram_join.first_of_each(docs)),
+    ("ngram_join", lambda spark, docs, sf_dir: ngram_join.first_of_each(docs, n=5, percent=80)),
     ("pii", lambda spark, docs, sf_dir: pii.redact(docs)),
     ("mixing", lambda spark, docs, sf_dir: mixing.sample(docs)),
     ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),

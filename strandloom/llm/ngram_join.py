@@ -18,8 +18,8 @@ The set is recomputed from the text where it is needed rather than stored. Long
 
 Defined results: null text, empty text and text without words have an empty set, n_shingles 0 and are their own component;
 repeated rows share a component, named by the least id; rows with one id and different texts count as different documents;
-a null doc_id takes part, and names a component only if all its members have none; empty tables give no rows; further
-columns are ignored.
+a row without doc_id has the component of an equal set that has an id, else null; empty tables give no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import small_batches, written
 from strandloom.llm.components import components
 
-WORDS = 3
-PERCENT = 90
+WORDS = 5
+PERCENT = 80
 FREQUENT = 1 << 20
 FREQUENT_FROM = 12
 RUN = 1 << 20

@@ -16,7 +16,7 @@ def queries() -> dict:
         "op6_mixing": lambda s, d: mixing.mix(documents(s, d)),
         "op7_packing": lambda s, d: packing.pack(documents(s, d)),
         "op8_fingerprints": lambda s, d: syncmers.fingerprints(documents(s, d)),
-        "op9_ngram_join": lambda s, d: ngram_join.similar(documents(s, d)),
+        "op9_ngram_join": lambda s, d: ngram_join.similar(documents(s, d), n=3, percent=90),
         "op10_ppm": lambda s, d: ppm.score(documents(s, d)),
     }
 

@@ -6,11 +6,11 @@ from strandloom.llm import ngram_join
 from strandloom.llm.components import components
 
 
-def brute(rows):
+def brute(rows, n=3, percent=90):
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set()))
     comp = list(range(len(rows)))
 
     def root(i):
@@ -20,7 +20,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * (k := len(sets[i] & sets[j])) >= 90 * (len(sets[i]) + len(sets[j]) - k):
+            if sets[i] and sets[j] and 100 * (k := len(sets[i] & sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - k):
                 a, b = root(i), root(j)
                 comp[a] = b
     groups = {}
@@ -30,9 +30,9 @@ def brute(rows):
     return sorted((rows[i][0], len(sets[i]), least[root(i)]) for i in range(len(rows)))
 
 
-def run(spark, rows):
+def run(spark, rows, n=3, percent=90):
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, size int").repartition(3)
-    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar(df).collect())
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar(df, n, percent).collect())
 
 
 def test_edges(spark):
@@ -55,6 +55,7 @@ def test_random_near_copies(spark):
             w = w[: -r.randint(1, 6)]
         rows.append((1000 - i, " ".join(w)))
     assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
 
 
 def test_corpus(spark):
@@ -64,7 +65,7 @@ def test_corpus(spark):
 
 def test_one_is_kept(spark):
     df = spark.createDataFrame([(1, "a b c d", "x"), (2, "A b c d", "y"), (3, "", "z"), (None, "q", "n"), (3, "", "z")], "doc_id long, text string, component string")
-    assert sorted((str(r.doc_id), r.component) for r in ngram_join.first_of_each(df).collect()) == [("1", "x"), ("3", "z"), ("None", "n")]
+    assert sorted((str(r.doc_id), r.component) for r in ngram_join.first_of_each(df, 3, 90).collect()) == [("1", "x"), ("3", "z"), ("None", "n")]
 
 
 def test_components(spark):

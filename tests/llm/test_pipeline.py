@@ -24,7 +24,7 @@ def test_stages(spark):
     assert len(kept) > 0.7 * len(rows)
 
     two = stages["ngram_join"](spark, one, "").cache()
-    want = {c for _, _, c in near_brute([(i, rows[i].text) for i in sorted(kept)])}
+    want = {c for _, _, c in near_brute([(i, rows[i].text) for i in sorted(kept)], 5, 80)}
     assert two.columns == COLUMNS and {r.doc_id for r in two.collect()} == want
 
     three = stages["pii"](spark, two, "").cache()
