@@ -41,7 +41,7 @@ PAD = 0xFF
 SLOTS = LENGTH - CORE + 1  # windows per anchor: it may start at the window's byte 0 to SLOTS - 1
 LEFT = SLOTS - 1
 FULL = LENGTH + LEFT
-BITMAP = 1 << 28
+BITMAP = 1 << 29
 CHUNK = 1 << 21
 RUN_ANCHORS = 1 << 20
 RUN_SUFFIXES = 1 << 16
@@ -335,7 +335,7 @@ def _bitmap(docs: DataFrame, parts: int) -> tuple[np.ndarray, list[bytes]]:
 
     found = written(docs.select("text").mapInArrow(runs, "part int, run binary").groupBy("part").applyInArrow(merge, "part int, run binary"), "anchors")
     n = found.filter("part >= 0").agg(F.coalesce(F.sum(F.octet_length("run")), F.lit(0))).first()[0] // 8
-    room = int(np.clip(np.ceil(np.log2(32 * max(n, 1))), bits + 3, int(np.log2(BITMAP))))
+    room = int(np.clip(np.ceil(np.log2(64 * max(n, 1))), bits + 3, int(np.log2(BITMAP))))
 
     def segments(batches):
         """A part's stretch of the bitmap, packed: all of them together are as long as the bitmap."""
