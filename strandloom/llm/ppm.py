@@ -6,10 +6,12 @@ there, symbols seen in the longer context are excluded from both. Below order 0
 text starts after an end mark and is followed by one, which is scored too. Since the trie is fixed after training, escapes
 and exclusions are compiled into one table per order, and a batch of texts is scored by table look-ups.
 
-Training counts (context, symbol) of all training texts: sorted runs are exchanged by key range and summed. What is broadcast
-has a bound: each order keeps at most NODES pairs, those whose counts reach a common power of two (at one half of the bound
-and below, all of them). Base: word counts, summed in the same exchange. The TOP most frequent words are broadcast (a bound);
-all other words of a document are joined with the table of counts and summed per document.
+Training counts (context, symbol) of all training texts: sorted runs are exchanged by key range and summed. No pair is dropped.
+Broadcast are orders 0 to ORDER - 2 (at most 256^3 pairs whatever the input) and of each longer order all pairs or, beyond NODES
+of them, those of its most frequent contexts, each context with all its symbols. A suffix is at least as frequent, so what a
+broadcast context scores is exact; bytes in other contexts leave their document and are joined with exact scores, which are
+made in buckets of contexts with equal last ORDER - 1 bytes. Base: word counts, summed in the same exchange. The TOP most
+frequent words are broadcast (a bound); all other words are joined with the table of counts and summed per document.
 
 Style: Arrow batches (Python, numpy) for counting and scoring; joins and sums are DataFrame operations.
 
@@ -34,6 +36,7 @@ ORDER = 4
 END = 0xFF  # not a byte of UTF-8
 FOLDS, HELD = 7, 2
 NODES = 1 << 21
+BUCKET = 1 << 18
 TOP = 1 << 18
 RUN_WORDS = 1 << 21
 RUN_BYTES = 1 << 23
@@ -145,7 +148,7 @@ class Trie:
 
     def __init__(self, pairs: dict[int, tuple[np.ndarray, np.ndarray]]):
         """``pairs``: order -> sorted packed (context, symbol) and counts; every pair of an order has its suffix in the order below."""
-        self.orders = sorted(pairs)
+        self.orders, self.pairs = sorted(pairs), pairs
         self.pair, self.context = {}, {}
         below = None
         for k in self.orders:
@@ -173,6 +176,14 @@ class Trie:
         if not self.pair:
             self.left = 256
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "pairs"}
+
+    def lacks(self, keys: np.ndarray) -> np.ndarray:
+        """Which packed keys have a context that is not among those of the longest order."""
+        k = self.orders[-1]
+        return self.context[k].find(keys >> np.uint64(8)) < 0 if k in self.context else np.ones(len(keys), bool)
+
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each packed (context, symbol) of full order."""
         out, open_, x, longer = np.zeros(len(keys)), np.arange(len(keys)), keys, None
@@ -248,25 +259,56 @@ class _Table:
         return found
 
 
-def train(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie from summed counts; an order keeps pairs whose counts reach the least power of two that leaves at most ``nodes``."""
+def _sorted_pairs(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = table.select("key", "c").toArrow()
+    key, c = rows.column("key").to_numpy().astype(np.uint64), rows.column("c").to_numpy()
+    by = np.argsort(key)
+    return key[by], c[by]
+
+
+def train(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> tuple[Trie, DataFrame | None]:
+    """The trie that is broadcast, from summed counts; and where it lacks contexts of full order, the table of all pairs of that order.
+
+    Beyond ``nodes`` pairs an order keeps whole contexts, those whose totals reach the least power of two that leaves at most ``nodes``.
+    """
     grams = counts.filter(F.col("kind") == GRAM).select("key", "c")
     pairs, least = {}, 1
     for k in range(order + 1):
         table = grams if k == order else grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("c").alias("c"))
-        if k > 1:
-            table = written(table, f"grams{k}")
-            sizes = table.groupBy(F.floor(F.log2("c")).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-            while sum(r.n for r in sizes if 2**r.p >= least) > nodes:
-                least *= 2
-        rows = table.filter(F.col("c") >= least).toArrow()
+        if k > order - 2:
+            table = written(table, f"grams{k}").withColumn("context", F.shiftrightunsigned("key", 8))
+            if least > 1 or table.count() > nodes:
+                contexts = table.groupBy("context").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("q"))
+                sizes = contexts.groupBy(F.floor(F.log2("total")).alias("p")).agg(F.sum("q").alias("n")).collect()
+                while sum(r.n for r in sizes if 2**r.p >= least) > nodes:
+                    least *= 2
+                full, table = table, table.join(contexts.filter(F.col("total") >= least), "context", "left_semi")
+        pairs[k] = _sorted_pairs(table)
+    return Trie(pairs), full.select("key", "c") if least > 1 else None
+
+
+def exact(keys: DataFrame, table: DataFrame, trie: Trie, order: int = ORDER, bucket: int = BUCKET) -> DataFrame:
+    """(key, value): the log10 probabilities of distinct packed keys by all pairs of full order in ``table``, in buckets of about ``bucket`` rows.
+
+    A bucket has whole contexts of order - 1 bytes, so that the two longest orders are complete in it; one such context has at most 256^2 rows
+    of either kind. ``trie`` has the shorter orders.
+    """
+    n = (table.count() + keys.count()) // bucket + 1
+    short = keys.sparkSession.sparkContext.broadcast({k: trie.pairs[k] for k in range(order - 1)})
+
+    def values(rows: pa.Table) -> pa.Table:
         key, c = rows.column("key").to_numpy().astype(np.uint64), rows.column("c").to_numpy()
-        by = np.argsort(key)
-        pairs[k] = key[by], c[by]
-    return Trie(pairs)
+        ask, top = key[c == 0], counted(key[c > 0], c[c > 0])
+        below = counted(top[0] & np.uint64((1 << 8 * order) - 1), top[1])
+        value = Trie({**short.value, order - 1: below, order: top}).score(ask)
+        return pa.table({"key": pa.array(ask.view(np.int64)), "value": pa.array(value)})
 
+    both = table.select("key", F.col("c").cast("long").alias("c")).union(keys.select("key", F.lit(0).cast("long")))
+    context = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * (order - 1)) - 1)
+    return both.withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(n))).groupBy("bucket").applyInArrow(values, "key long, value double")
 
-def score(docs: DataFrame, top: int = TOP) -> DataFrame:
+
+def score(docs: DataFrame, top: int = TOP, nodes: int = NODES, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -278,7 +320,9 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
     best = words.orderBy(F.col("c").desc(), "word").limit(top).toArrow()
     key = best.column("word").to_numpy().view(np.uint64)
     by = np.argsort(key)
-    shared = spark.sparkContext.broadcast((key[by], best.column("c").to_numpy()[by], train(counts)))
+    trie, pairs = train(counts, nodes=nodes)
+    shared = spark.sparkContext.broadcast((key[by], best.column("c").to_numpy()[by], trie))
+    partial = pairs is not None
     log_room = float(np.log10(room))
 
     def run(batches):
@@ -303,25 +347,33 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
                     known.append(0)
                     base.append(0.0)
                     rare.append(h.view(np.int64))
-            scores = _scores(trie, raws)
+            scores, grams = _scores(trie, raws, partial)
             ids = pa.array(np.arange(row, row + len(raws)))
             row += len(raws)
-            yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(scores)], [f.split()[0] for f in fields.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(scores), grams], [f.split()[0] for f in fields.split(", ")])
 
-    fields = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double"
+    fields = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, grams array<struct<key:bigint,n:bigint>>"
     rows = written(docs.withColumn("held_out", held_out()).mapInArrow(run, fields), "scored")
     rest = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left").groupBy("row").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0) - log_room).alias("rest"))
     end = float(np.log10(n_docs + 1) - log_room)
-    out = rows.drop("rare").join(rest, "row", "left")
+    out = rows.drop("rare", "grams").join(rest, "row", "left")
+    if partial:
+        asked = rows.select("row", F.explode("grams").alias("g")).select("row", "g.key", "g.n")
+        value = exact(written(asked.select("key").distinct(), "asked"), pairs, trie, bucket=bucket)
+        lacked = asked.join(value, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("lacked"))
+        out = out.join(lacked, "row", "left").withColumn("score", F.col("score") + F.coalesce("lacked", F.lit(0.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + int(n_docs > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0)) + end).alias("base_score"), "score",
     )
 
 
-def _scores(trie: Trie, raws: list[bytes], chunk: int = 1 << 21) -> np.ndarray:
-    """Scores of texts, some at a time; a very long text is scored in slices that carry their contexts."""
-    out, i = np.zeros(len(raws)), 0
+def _scores(trie: Trie, raws: list[bytes], partial: bool = False, chunk: int = 1 << 21) -> tuple[np.ndarray, pa.ListArray]:
+    """Scores of texts, some at a time; a very long text is scored in slices that carry their contexts.
+
+    With a ``partial`` trie also, per text, the distinct keys whose contexts it lacks, with their numbers; those are not in the scores.
+    """
+    out, i, lacked = np.zeros(len(raws)), 0, [counted(np.empty(0, np.uint64))] * len(raws)
     while i < len(raws):
         j, size = i, 0
         while j < len(raws) and (j == i or size + len(raws[j]) < chunk):
@@ -330,6 +382,14 @@ def _scores(trie: Trie, raws: list[bytes], chunk: int = 1 << 21) -> np.ndarray:
         keys = gram_keys(raws[i:j])
         each = np.concatenate([trie.score(keys[s : s + chunk]) for s in range(0, len(keys), chunk)])
         starts = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raws[i:j]])[:-1]))
+        if partial:
+            lacks = np.concatenate([trie.lacks(keys[s : s + chunk]) for s in range(0, len(keys), chunk)])
+            each[lacks] = 0.0
+            for d, (a, b) in enumerate(zip(starts, [*starts[1:], len(keys)], strict=True)):
+                lacked[i + d] = counted(keys[a:b][lacks[a:b]])
         out[i:j] = np.add.reduceat(each, starts)
         i = j
-    return out
+    at = np.cumsum([0, *[len(k) for k, _ in lacked]])
+    flat = [np.concatenate([x[s] for x in lacked]) if lacked else np.empty(0) for s in (0, 1)]
+    flat = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in flat], ["key", "n"])
+    return out, pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)

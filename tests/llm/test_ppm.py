@@ -58,6 +58,16 @@ def test_equals_brute_force(spark, top):
         assert got[5] == pytest.approx(want[5], abs=1e-6) and got[6] == pytest.approx(want[6], rel=1e-6, abs=1e-6)
 
 
+@pytest.mark.parametrize("nodes", [1, 500, 3000])
+def test_pairs_beyond_the_broadcast_count(spark, nodes):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(25).collect()]
+    rows += [(None, "no id"), (1001, None), (1003, "\x00 日本 unseen"), (1003, "\x00 日本 unseen")]
+    assert any(held(i) for i, _ in rows)
+    key = lambda r: (str(r[0]), r[2])
+    for got, want in zip(sorted(map(tuple, run(spark, rows, nodes=nodes, bucket=1000)), key=key), sorted(brute(rows), key=key), strict=True):
+        assert got[:5] == want[:5] and got[6] == pytest.approx(want[6], rel=1e-6, abs=1e-6)
+
+
 def test_held_out_text_is_likelier_than_noise(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
