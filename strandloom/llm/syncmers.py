@@ -2,16 +2,18 @@
 
 A text is a sequence of tokens (pieces of at most 16 characters of its words). A run of K tokens is a closed syncmer if the
 least hash among its inner runs of S tokens stands at its first or last place; that depends on the run alone, so equal
-passages choose equal anchors wherever they stand. The fingerprint is the least SKETCH hashes of the text's syncmers, in hex.
-Likeness of two fingerprints is their containment: of the hashes up to the lower of their ends (a fingerprint that is not full
-has no end), those that both have over those of the one that has fewer.
+passages choose equal anchors wherever they stand. The fingerprint is all syncmers of the text in order of place, each as its
+hash and its place (the number of tokens before it), in hex; it grows with the text.
+Likeness of two fingerprints is the containment of their links: a link is two successive anchors and the tokens between their
+places, so that two texts share it only if both anchors match at one offset; those that both have count over those of the one
+that has fewer, distinct ones each. If one text has a single anchor, thus no link, anchors are compared instead.
 
 The edited text takes its end from the next document by descending id. Documents are dealt to ranges of ids of about
 ``PER_RANGE`` documents; within a range a window gives the next one, and each range gets a copy of the first row of the
 range below as its last row. One shuffle of the texts; no global sort, no task with more than a range.
 
 Defined results: null text = empty text, whose fingerprint is empty; likeness of two empty ones is 1, of an empty and
-another 0; a text of fewer than K tokens has one hash, of all its tokens; rows with equal ids are ordered by text, a null id
+another 0; a text of fewer than K tokens has one hash, of all its tokens, at place 0; rows with equal ids are ordered by text, a null id
 comes after all others; a single document is its own next; empty tables give no rows; further columns are ignored.
 """
 
@@ -24,16 +26,18 @@ from strandloom.llm.common import let
 
 K = 4
 S = 2
-SKETCH = 128
 PER_RANGE = 512
 BROADCAST_RANGES = 1_000_000
 
 
 def syncmers(text: Column) -> Column:
-    """Sorted distinct hashes of the closed syncmers of a text, the least SKETCH of them."""
+    """The closed syncmers of a text, all of them in order of place: structs of hash and place."""
     tokens = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,16}"), F.lit(0))
     shifted = lambda a, k, n: F.slice(a, k + 1, n)
 
+    def anchor(x: Column, i: Column) -> Column:
+        return F.struct(x.alias("hash"), i.alias("place"))
+
     def chosen(h: Column) -> Column:
         n = F.size(h)
         runs = F.greatest(n - K + 1, F.lit(0))
@@ -41,28 +45,35 @@ def syncmers(text: Column) -> Column:
         def over(g: Column) -> Column:  # g: hashes of inner runs of S = 2 tokens; a run of K = 4 has the three g[i] .. g[i + 2]
             edge = F.zip_with(F.slice(g, 1, runs), shifted(g, K - S, runs), lambda a, b: F.struct(F.least(a, b).alias("least"), F.xxhash64(a, b).alias("whole")))
             closed = F.zip_with(edge, shifted(g, 1, runs), lambda e, inner: F.when(e.least <= inner, e.whole))
-            return F.slice(F.sort_array(F.array_distinct(F.filter(closed, lambda x: x.isNotNull()))), 1, SKETCH)
+            return F.filter(F.transform(closed, anchor), lambda x: x.hash.isNotNull())
 
         pairs = F.zip_with(F.slice(h, 1, n - 1), shifted(h, 1, n), lambda a, b: F.xxhash64(a, b))
-        return F.when(n >= K, let(pairs, over)).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= K, let(pairs, over)).when(n > 0, F.array(anchor(F.xxhash64(h), F.lit(0)))).otherwise(F.array().cast("array<struct<hash:bigint,place:int>>"))
 
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), chosen)
 
 
+def links(a: Column) -> Column:
+    """Distinct hashes of successive anchors with the distance of their places."""
+    n = F.size(a)
+    return F.array_distinct(F.zip_with(F.slice(a, 1, F.greatest(n - 1, F.lit(0))), F.slice(a, 2, n), lambda x, y: F.xxhash64(x.hash, y.hash, y.place - x.place)))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    def ended(pair: Column) -> Column:
-        last = lambda x: F.when(F.size(x) < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.array_max(x))
-        end = F.least(last(pair.a), last(pair.b))
-        under = lambda x: let(end, lambda e: F.size(F.filter(x, lambda h: h <= e)))
-        both = let(end, lambda e: F.size(F.filter(F.array_intersect(pair.a, pair.b), lambda h: h <= e)))
-        fewer = F.least(under(pair.a), under(pair.b))
-        return F.when((F.size(pair.a) == 0) & (F.size(pair.b) == 0), 1.0).when(fewer == 0, 0.0).otherwise(both / fewer)
+    def of_sets(pair: Column) -> Column:
+        return F.size(F.array_intersect(pair.a, pair.b)) / F.least(F.size(pair.a), F.size(pair.b))
+
+    def matched(pair: Column) -> Column:
+        fewer = F.least(F.size(pair.a), F.size(pair.b))
+        sets = lambda f: let(F.struct(f(pair.a).alias("a"), f(pair.b).alias("b")), of_sets)
+        both_empty = (F.size(pair.a) == 0) & (F.size(pair.b) == 0)
+        return F.when(both_empty, 1.0).when(fewer == 0, 0.0).when(fewer == 1, sets(lambda x: F.array_distinct(x.hash))).otherwise(sets(links))
 
-    return let(F.struct(a.alias("a"), b.alias("b")), ended)
+    return let(F.struct(a.alias("a"), b.alias("b")), matched)
 
 
-def digest(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+def digest(anchors: Column) -> Column:
+    return F.array_join(F.transform(anchors, lambda x: F.concat(F.lpad(F.hex(x.hash), 16, "0"), F.lpad(F.hex(x.place), 8, "0"))), "")
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
@@ -87,11 +98,11 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     df, by = with_next(docs.select(F.col("doc_id").cast("long"), "text"))
-    df = df.withColumn("__own", syncmers(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
-    df = df.withColumn("__after", F.lead(F.struct("text", "__own")).over(by)).filter(~F.col("__copy"))
+    # anchors are made behind the exchange, which so carries texts alone
+    df = df.withColumn("n_chars", F.length("text").cast("long")).withColumn("__after", F.lead("text").over(by)).filter(~F.col("__copy"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("__after.text"), F.lit(1), cut))
-    df = df.select("doc_id", "n_chars", "__own", F.col("__after.__own").alias("__next"), edited.alias("__edited"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("__after"), F.lit(1), cut))
+    df = df.select("doc_id", "n_chars", syncmers(F.col("text")).alias("__own"), syncmers(F.col("__after")).alias("__next"), edited.alias("__edited"))
     df = df.withColumn("__new", syncmers(F.col("__edited")))
     return df.select(
         "doc_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), digest(F.col("__own")).alias("fingerprint"), digest(F.col("__new")).alias("edited_fingerprint"),

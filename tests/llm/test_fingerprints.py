@@ -35,6 +35,22 @@ def test_likeness(spark):
     assert sum(r.near_next < 0.05 for r in long) > 0.9 * len(long)
 
 
+def test_all_anchors_with_their_places(spark):
+    long = [f"w{i * 7919 % 10007}" for i in range(6000)]
+    whole, part = " ".join(long), " ".join(long[3000:3040])
+    (r,) = [r for r in run(spark, [(2, part), (1, whole)]) if r.doc_id == 2]
+    assert r.near_next == 1.0
+    changed = {run(spark, [(1, " ".join([*long[:i], "other", *long[i + 1 :]]))])[0].fingerprint for i in range(1000, 1005)}
+    assert len(changed) == 5
+    (r,) = run(spark, [(1, whole)])
+    places = [int(r.fingerprint[i + 16 : i + 24], 16) for i in range(0, len(r.fingerprint), 24)]
+    assert places == sorted(set(places)) and len(places) > 3000
+    runs = [" ".join(long[i : i + 6]) for i in range(0, 600, 6)]
+    spread = " ".join(f"{x} {'y' * (1 + i % 9)} z{i}" for i, x in enumerate(runs))
+    (r,) = [r for r in run(spark, [(2, " ".join(runs)), (1, spread)]) if r.doc_id == 2]
+    assert 0 < r.near_next < 0.6
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     (r,) = run(spark, [(1, "")])
