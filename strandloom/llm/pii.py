@@ -221,6 +221,17 @@ def _score(c: Column, trees: list[tuple]) -> Column:
     return total
 
 
+def _meets(a: Column, b: Column) -> Column:
+    return (a.start < b.end) & (b.start < a.end)
+
+
+def accepted(spans: Column) -> Column:
+    """Of spans with a margin those that meet no accepted one, by descending margin, then start and kind."""
+    by_rank = F.array_sort(F.transform(spans, lambda c: F.struct((-c.margin).alias("rank"), c.start.alias("start"), c.kind.alias("kind"), c.alias("span"))))
+    add = lambda acc, c: F.when(F.exists(acc, lambda b: _meets(b, c.span)), acc).otherwise(F.concat(acc, F.array(c.span)))
+    return F.aggregate(by_rank, F.filter(spans, lambda c: F.lit(False)), add)
+
+
 def with_spans(docs: DataFrame, text: str = "text", out: str = "__pii") -> DataFrame:
     """``docs`` with struct ``out``: base and spans, arrays of (start, end, kind) in order of start, then kind."""
     trees, limits = trained(docs.sparkSession)
@@ -236,11 +247,9 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "__pii") -> DataF
     df = docs.withColumn("__base", F.array_sort(F.transform(base_spans(t), bare)))
     scored = F.transform(candidates(t), lambda c: F.struct(c.start.alias("start"), c.kind.alias("kind"), c.end.alias("end"), (_score(c, trees) - over(c)).alias("margin")))
     df = df.withColumn("__scored", F.filter(scored, lambda c: c.margin >= 0))
-    meets = lambda a, b: (a.start < b.end) & (b.start < a.end)
-    free = F.filter("__scored", lambda c: ~F.exists("__base", lambda b: meets(b, c)))
-    better = lambda b, c: (b.margin > c.margin) | ((b.margin == c.margin) & ((b.start < c.start) | ((b.start == c.start) & (b.kind < c.kind))))
+    free = F.filter("__scored", lambda c: ~F.exists("__base", lambda b: _meets(b, c)))
     df = df.withColumn("__free", free)
-    best = F.filter("__free", lambda c: ~F.exists("__free", lambda b: meets(b, c) & better(b, c)))
+    best = accepted(F.col("__free"))
     df = df.withColumn(out, F.struct(F.col("__base").alias("base"), F.array_sort(F.concat("__base", F.transform(best, bare))).alias("spans")))
     return df.drop("__base", "__scored", "__free")
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from strandloom.llm import pii
 
 BASE = {
@@ -64,3 +65,10 @@ def test_redaction(docs):
 
 def test_empty(docs):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_span_behind_a_rejected_one_is_accepted(spark):
+    spans = [(0, 1, 10, 3.0), (5, 2, 25, 2.0), (20, 3, 30, 1.0), (29, 4, 35, 1.0), (40, 5, 50, 0.0)]
+    df = spark.createDataFrame([(spans,), ([],)], "s array<struct<start:int,kind:int,end:int,margin:double>>")
+    first, second = (sorted(x.start for x in r.a) for r in df.select(pii.accepted(F.col("s")).alias("a")).collect())
+    assert (first, second) == ([0, 20, 40], [])
