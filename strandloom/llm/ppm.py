@@ -4,7 +4,8 @@ Model: a byte-context trie of order ORDER, trained on all documents but the held
 distinct symbols a seen symbol with count c has probability c / (T + q), and the escape to the next shorter context q / (T + q);
 there, symbols seen in the longer context are excluded from both. Below order 0 the remaining symbols are equally likely. A
 text starts after an end mark and is followed by one, which is scored too. Since the trie is fixed after training, escapes
-and exclusions are compiled into one table per order, and a batch of texts is scored by table look-ups.
+and exclusions are compiled into one table per order, and texts are scored by table look-ups, SLICE bytes at a time: a very
+long text, or many short ones, take the memory of one slice beyond their bytes.
 
 Training counts (context, symbol) of all training texts: sorted runs are exchanged by key range and summed. No pair is dropped.
 Broadcast are orders 0 to ORDER - 2 (at most 256^3 pairs whatever the input) and of each longer order all pairs or, beyond NODES
@@ -22,6 +23,7 @@ give no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -30,18 +32,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import written
+from strandloom.llm.common import small_batches, written
 
 ORDER = 4
 END = 0xFF  # not a byte of UTF-8
 FOLDS, HELD = 7, 2
-NODES = 1 << 21
+NODES = 1 << 20
 BUCKET = 1 << 18
 TOP = 1 << 18
 RUN_WORDS = 1 << 21
 RUN_BYTES = 1 << 23
-CACHE = 400_000
+SLICE = 1 << 18
+CACHE = 1 << 16
 WORD, GRAM = 0, 1
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class _WordHash(dict):
@@ -57,24 +61,36 @@ class _WordHash(dict):
 _hash_of = _WordHash()
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    ws = raw.lower().split()
-    return np.fromiter(map(_hash_of.__getitem__, ws), np.uint64, len(ws))
+def word_hashes(raw: bytes, size: int = SLICE):
+    """Arrays of the hashes of a text's words, one for about ``size`` bytes; no word is cut."""
+    at = 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > size and (space := SPACE.search(raw, at + size)):
+            end = space.end()
+        ws = raw[at:end].lower().split()
+        yield np.fromiter(map(_hash_of.__getitem__, ws), np.uint64, len(ws))
+        at = end
 
 
-def gram_keys(raws: list[bytes], order: int = ORDER) -> np.ndarray:
-    """For every byte of every text, and its end mark: the preceding ``order`` bytes and the byte, packed."""
+def gram_keys(raws: list[bytes], order: int = ORDER, size: int = SLICE):
+    """For every byte of every text, and its end mark: the preceding ``order`` bytes and the byte, packed.
+
+    Pairs (numbers of the texts, keys) of at most ``size`` places; slices of one text carry their contexts.
+    """
     mark = bytes([END])
-    joined = np.frombuffer(mark * order + b"".join(r + mark * order for r in raws), np.uint8)
-    keys = np.zeros(len(joined) - order, np.uint64)
-    for i in range(order + 1):
-        keys = (keys << np.uint64(8)) | joined[i : len(joined) - order + i]
-    size = np.fromiter(map(len, raws), np.int64, len(raws))
-    ends = np.cumsum(size + order)  # a text's places, its end mark, then order - 1 places that do not count
-    keep = np.ones(len(keys), bool)
-    for i in range(1, order):
-        keep[ends - i] = False
-    return keys[keep]
+    joined = np.frombuffer(mark * order + b"".join(x for r in raws for x in (r, mark * order)), np.uint8)
+    lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+    starts = np.cumsum(lengths + order) - lengths - order  # a text's places, its end mark, then order - 1 places that do not count
+    for a in range(0, len(joined) - order, size):
+        z = min(len(joined) - order, a + size)
+        keys = np.zeros(z - a, np.uint64)
+        for i in range(order + 1):
+            keys = (keys << np.uint64(8)) | joined[a + i : z + i]
+        place = np.arange(a, z)
+        text = np.searchsorted(starts, place, "right") - 1
+        keep = place - starts[text] <= lengths[text]
+        yield text[keep], keys[keep]
 
 
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +111,9 @@ def count_training(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def runs(batches):
-        def flush(kind, keys):
-            k, c = counted(keys)
+        def flush(kind):
+            k, c = counted(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))
+            held[kind], size[kind] = [], 0
             # spread by a mixed key, so that ranges of similar contexts are dealt evenly
             part = ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
             by = np.argsort(part, kind="stable")
@@ -110,24 +127,31 @@ def count_training(docs: DataFrame) -> DataFrame:
                     out[3].append(zlib.compress(c[a:b].astype("<u4").tobytes(), 1))
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
 
-        words, n_words, raws, n_bytes = [], 0, [], 0
+        # slices are counted at once, and their counts held until a run is full
+        held, size, most = {WORD: [], GRAM: []}, {WORD: 0, GRAM: 0}, {WORD: RUN_WORDS, GRAM: RUN_BYTES}
+
+        def add(kind, keys):
+            held[kind].append(counted(keys))
+            size[kind] += len(keys)
+            if size[kind] >= most[kind]:
+                yield flush(kind)
+
         for b in batches:
-            for t in b.column(0).to_pylist():
-                raw = (t or "").encode()
-                words.append(word_hashes(raw))
-                n_words += len(words[-1])
-                raws.append(raw)
-                n_bytes += len(raw) + ORDER
-                if n_words >= RUN_WORDS:
-                    yield flush(WORD, np.concatenate(words))
-                    words, n_words = [], 0
-                if n_bytes >= RUN_BYTES:
-                    yield flush(GRAM, gram_keys(raws))
-                    raws, n_bytes = [], 0
-        if n_words:
-            yield flush(WORD, np.concatenate(words))
-        if raws:
-            yield flush(GRAM, gram_keys(raws))
+            raws = [(t or "").encode() for t in b.column(0).to_pylist()]
+            words, n = [], 0
+            for h in (h for raw in raws for h in word_hashes(raw)):
+                words.append(h)
+                n += len(h)
+                if n >= SLICE:
+                    yield from add(WORD, np.concatenate(words))
+                    words, n = [], 0
+            if n:
+                yield from add(WORD, np.concatenate(words))
+            for _, keys in gram_keys(raws):
+                yield from add(GRAM, keys)
+        for kind in held:
+            if held[kind]:
+                yield flush(kind)
 
     def merge(table: pa.Table) -> pa.Table:
         ks = [np.cumsum(np.frombuffer(zlib.decompress(x), np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
@@ -158,7 +182,7 @@ class Trie:
             ctx, at, q = np.unique(keys >> np.uint64(8), return_index=True, return_counts=True)
             total = np.add.reduceat(c, at).astype(float)
             of = np.repeat(np.arange(len(ctx)), q)
-            self.pair[k] = _Table(keys, np.stack([np.log10(c / (total + q)[of]), np.log10(c)]))
+            self.pair[k] = _Table(keys, np.stack([np.log10(c / (total + q)[of]), np.log10(c)]).astype(np.float32))
             own = np.log10(q / (total + q))
             if below is None:
                 self.left = 256 - len(keys)
@@ -171,7 +195,7 @@ class Trie:
                 t, r = b_total[y] - seen, (b_q[y] - q).astype(float)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     rest = np.stack([np.where(t + r > 0, np.log10(np.maximum(t + r, 1)), 0.0), np.where(r > 0, np.log10(np.maximum(r, 1) / np.maximum(t + r, 1)), 0.0)])
-            self.context[k] = _Table(ctx, np.stack([own, *rest]))
+            self.context[k] = _Table(ctx, np.stack([own, *rest]).astype(np.float32))
             below = keys, c, ctx, total, q
         if not self.pair:
             self.left = 256
@@ -230,7 +254,7 @@ class _Table:
         self.slots = None
 
     def _build(self) -> None:
-        bits = max(4, int(np.ceil(np.log2(4 * len(self.keys)))))
+        bits = max(4, int(np.ceil(np.log2(2 * max(1, len(self.keys))))))
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.slots = np.full(1 << bits, -1, np.int32)
         left, at = np.arange(len(self.keys), dtype=np.int32), self._place(self.keys)
@@ -312,7 +336,8 @@ def score(docs: DataFrame, top: int = TOP, nodes: int = NODES, bucket: int = BUC
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = written(count_training(docs), "counts")
+    with small_batches(spark):
+        counts = written(count_training(docs), "counts")
     words = counts.filter(F.col("kind") == WORD).select(F.col("key").alias("word"), "c")
     n_docs = docs.filter(~held_out()).count()
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -335,26 +360,29 @@ def score(docs: DataFrame, top: int = TOP, nodes: int = NODES, bucket: int = BUC
             raws = [(t or "").encode() for t in b.column(1).to_pylist()]
             n, known, base, rare = [], [], [], []
             for raw in raws:
-                h = word_hashes(raw)
-                n.append(len(h) + 1)
-                if len(key) and len(h):
+                n.append(1)
+                known.append(0)
+                base.append(0.0)
+                rare.append([np.empty(0, np.int64)])
+                for h in word_hashes(raw):
                     at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-                    hit = key[at] == h
-                    known.append(int(hit.sum()))
-                    base.append(float(gain[at[hit]].sum()))
-                    rare.append(h[~hit].view(np.int64))
-                else:
-                    known.append(0)
-                    base.append(0.0)
-                    rare.append(h.view(np.int64))
+                    hit = key[at] == h if len(key) else np.zeros(len(h), bool)
+                    n[-1] += len(h)
+                    known[-1] += int(hit.sum())
+                    base[-1] += float(gain[at[hit]].sum())
+                    rare[-1].append(h[~hit].view(np.int64))
+            rare = [np.concatenate(r) for r in rare]
             scores, grams = _scores(trie, raws, partial)
             ids = pa.array(np.arange(row, row + len(raws)))
             row += len(raws)
-            yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(scores), grams], [f.split()[0] for f in fields.split(", ")])
+            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(scores), grams]
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), b.column(2), *columns], [f.split()[0] for f in fields.split(", ")])
 
     fields = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, grams array<struct<key:bigint,n:bigint>>"
-    rows = written(docs.withColumn("held_out", held_out()).mapInArrow(run, fields), "scored")
-    rest = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left").groupBy("row").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0) - log_room).alias("rest"))
+    with small_batches(spark):
+        rows = written(docs.withColumn("held_out", held_out()).mapInArrow(run, fields), "scored")
+    looked_up = rows.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
+    rest = looked_up.groupBy("row").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0) - log_room).alias("rest"))
     end = float(np.log10(n_docs + 1) - log_room)
     out = rows.drop("rare", "grams").join(rest, "row", "left")
     if partial:
@@ -368,27 +396,24 @@ def score(docs: DataFrame, top: int = TOP, nodes: int = NODES, bucket: int = BUC
     )
 
 
-def _scores(trie: Trie, raws: list[bytes], partial: bool = False, chunk: int = 1 << 21) -> tuple[np.ndarray, pa.ListArray]:
-    """Scores of texts, some at a time; a very long text is scored in slices that carry their contexts.
+def _scores(trie: Trie, raws: list[bytes], partial: bool = False) -> tuple[np.ndarray, pa.ListArray]:
+    """Scores of texts, a slice at a time.
 
     With a ``partial`` trie also, per text, the distinct keys whose contexts it lacks, with their numbers; those are not in the scores.
     """
-    out, i, lacked = np.zeros(len(raws)), 0, [counted(np.empty(0, np.uint64))] * len(raws)
-    while i < len(raws):
-        j, size = i, 0
-        while j < len(raws) and (j == i or size + len(raws[j]) < chunk):
-            size += len(raws[j])
-            j += 1
-        keys = gram_keys(raws[i:j])
-        each = np.concatenate([trie.score(keys[s : s + chunk]) for s in range(0, len(keys), chunk)])
-        starts = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raws[i:j]])[:-1]))
+    out, lacked = np.zeros(len(raws)), [[] for _ in raws]
+    for text, keys in gram_keys(raws):
+        each = trie.score(keys)
         if partial:
-            lacks = np.concatenate([trie.lacks(keys[s : s + chunk]) for s in range(0, len(keys), chunk)])
+            lacks = trie.lacks(keys)
             each[lacks] = 0.0
-            for d, (a, b) in enumerate(zip(starts, [*starts[1:], len(keys)], strict=True)):
-                lacked[i + d] = counted(keys[a:b][lacks[a:b]])
-        out[i:j] = np.add.reduceat(each, starts)
-        i = j
+            of, some = text[lacks], keys[lacks]
+            for a, z in zip(at := np.flatnonzero(np.diff(of, prepend=-1)), [*at[1:], len(of)], strict=True):
+                lacked[of[a]].append(counted(some[a:z]))
+        if len(text):
+            out[text[0] : text[-1] + 1] += np.bincount(text - text[0], weights=each)
+    none = [counted(np.empty(0, np.uint64))]
+    lacked = [counted(*(np.concatenate(x) for x in zip(*(found or none), strict=True))) for found in lacked]
     at = np.cumsum([0, *[len(k) for k, _ in lacked]])
     flat = [np.concatenate([x[s] for x in lacked]) if lacked else np.empty(0) for s in (0, 1)]
     flat = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in flat], ["key", "n"])

@@ -1,6 +1,7 @@
 """Operator 10 against a symbol-by-symbol PPM and word counts in Python, and on held-out text."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -85,3 +86,28 @@ def test_without_training_rows(spark):
     (r,) = run(spark, [(i, "ab")])
     assert (r.n_known, r.train_tokens) == (0, 0) and r.score == pytest.approx(-3 * math.log10(256))
     assert run(spark, []) == []
+
+
+def test_slices_do_not_matter(spark, monkeypatch):
+    rows = [(i, ("one two three " * 9 + f"é{i} " + "x" * i) * (i % 4)) for i in range(30)] + [(None, "a\x0bb\tc d"), (40, " " * 50), (41, "y" * 90)]
+    whole = list(ppm.gram_keys([(t or "").encode() for _, t in rows]))
+    parts = list(ppm.gram_keys([(t or "").encode() for _, t in rows], size=7))
+    for i in (0, 1):
+        assert [x for p in parts for x in p[i].tolist()] == [x for p in whole for x in p[i].tolist()]
+    for _, t in rows:
+        assert [h for p in ppm.word_hashes(t.encode(), 5) for h in p.tolist()] == [h for p in ppm.word_hashes(t.encode()) for h in p.tolist()]
+
+
+def test_memory_of_a_very_long_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()
+    text = ("\n".join(r.text for r in docs if r.text).encode() * 200)[: 12 << 20]
+    keys = ppm.counted(next(ppm.gram_keys([text[: 1 << 17]]))[1])
+    trie = ppm.Trie({k: ppm.counted(keys[0] & ppm.np.uint64((1 << 8 * (k + 1)) - 1), keys[1]) for k in range(5)})
+    tracemalloc.start()
+    (score,), _ = ppm._scores(trie, [text])
+    n = sum(len(h) for h in ppm.word_hashes(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 + 2 * len(text) and n == len(text.split()) and score < 0
+    half = sum(trie.score(k).sum() for s in range(0, len(text), 1 << 21) for _, k in ppm.gram_keys([text[max(0, s - 4) : s + (1 << 21)]]))
+    assert score == pytest.approx(half, rel=1e-4)
