@@ -5,21 +5,23 @@ their first n - ceil(percent * n / 100) + 1 elements in any common order; the or
   1. Count shingles over all documents: sorted, delta-coded runs are exchanged and summed; the most frequent ones (at most
      ``FREQUENT`` of them, a bound on what is broadcast) come last in the order. The count only guides the order: links are
      the same whatever it says.
-  2. Documents with equal sets become one node; nodes with equal size and prefix become one group.
+  2. Documents with equal sets (by a 128-bit hash) become one node, numbered without regard to ids; nodes with equal size and
+     prefix become one group. A node's text is that of its least row, which is found by hashes of the row.
   3. Groups that share a prefix element, fit in size and whose positions leave enough overlap are candidates. Instead of all
      pairs of a list, first a document's nearest of few is verified: of its neighbours in lists, of each list's document
      with the earliest place, and of its neighbour among its group's members; connected components of these links follow. Then candidates are made only between members of different components of a
      list, those outside its largest component against all, so that a large group of near copies costs its size, not its square.
      A pair also has to pass a parity sketch: sets differ in at least as many elements as their SKETCH parity bits differ.
-  4. Verified links of both rounds give the components; every link between different components has been verified.
+  4. Verified links of both rounds give the components; every link between different components has been verified. Only then
+     do components get their names, the least ids.
 
 Style: shingle sets and their intersection in Arrow batches (Python, numpy); all joins and counts are DataFrame operations.
 The set is recomputed from the text where it is needed rather than stored. Long lists are streamed from a sorted shuffle.
 
 Defined results: null text, empty text and text without words have an empty set, n_shingles 0 and are their own component;
-repeated rows share a component, named by the least id; rows with one id and different texts count as different documents;
-a row without doc_id has the component of an equal set that has an id, else null; empty tables give no rows; further columns
-are ignored.
+repeated rows share a component, named by the least id; rows with one id and different texts are different documents, each in
+its own text's component; rows without doc_id take part like others, and their component is null if none in it has an id;
+a very long text takes memory in proportion to its words, in one task; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ PERCENT = 80
 FREQUENT = 1 << 20
 FREQUENT_FROM = 12
 RUN = 1 << 20
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
+SALTS = 16
 CACHE = 200_000
 SKETCH = 512
 BITMAP = 1 << 28
@@ -138,10 +141,20 @@ def shingle_counts(docs: DataFrame, n: int = WORDS, least: int = FREQUENT_FROM,
     return k[by], c[by], seen
 
 
+def identity():
+    """Two hashes by which a row is found again: of its id and text, and of its text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.hash("text").alias("check")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def prefixes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, size, key, gkey, prefix, parity) per document.
+    """(doc_id, row, check, size, key, gkey, prefix, parity) per document.
 
-    ``key`` identifies the set, ``gkey`` size and prefix together; ``prefix`` holds the prefix's elements that occur in
+    ``row`` and ``check`` are hashes of the row's id and text; ``key`` identifies the set, ``gkey`` size and prefix together; ``prefix`` holds the prefix's elements that occur in
     another document, each with its place in the global order; ``parity`` is the sketch.
     """
     with small_batches(docs.sparkSession):
@@ -151,10 +164,10 @@ def prefixes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
         k, c, seen = known.value
         shift = np.uint32(32 - int(np.log2(8 * len(seen))))
         place = pa.struct([("pos", pa.int32()), ("token", pa.int64())])
-        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.binary()), ("gkey", pa.int64()), ("prefix", pa.list_(place)), ("parity", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("check", pa.int32()), ("size", pa.int32()), ("key", pa.binary()), ("gkey", pa.int64()), ("prefix", pa.list_(place)), ("parity", pa.list_(pa.int64()))])
         for b in batches:
             size, key, gkey, parity, at, pos, token = [], [], [], [], [0], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(3).to_pylist():
                 s = shingles(t, n)
                 m = len(s)
                 size.append(m)
@@ -178,10 +191,10 @@ def prefixes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
                 token.append(s[keep].view(np.int64))
                 at.append(at[-1] + len(keep))
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate(pos) if pos else [], pa.int32()), pa.array(np.concatenate(token) if token else [], pa.int64())], ["pos", "token"])
-            cols = [b.column(0), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(gkey, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(parity, pa.list_(pa.int64()))]
+            cols = [*b.columns[:3], pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(gkey, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(parity, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size int, key binary, gkey long, prefix array<struct<pos:int,token:bigint>>, parity array<long>")
+    return docs.select(F.col("doc_id").cast("long"), *identity(), "text").mapInArrow(run, "doc_id long, row long, check int, size int, key binary, gkey long, prefix array<struct<pos:int,token:bigint>>, parity array<long>")
 
 
 def apart(px, py):
@@ -194,12 +207,11 @@ def may_link(nx, px, ny, py, percent: int):
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * apart(px, py) <= (100 - percent) * (nx + ny))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of node ids whose sets have a Jaccard of at least ``percent``/100; texts meet, as they pack better than sets."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard of at least ``percent``/100; texts meet, as they pack better than sets."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = small(written(asked.join(nodes.select("node", "rep.row", "rep.check"), "node"), "ids"))
 
     def check(batches):
         held: dict[str, np.ndarray] = {}
@@ -219,19 +231,22 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int = WORDS, percent: int = P
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    joined = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    # equal rows have one text; they are combined before the exchange
+    found = docs.select(*identity(), "text").join(ids, ["row", "check"]).groupBy("node").agg(F.first("text").alias("text"))
+    side = lambda x: found.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     with small_batches(docs.sparkSession):
         return written(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct(), "links")
 
 
-def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def labelled(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The prefixes of all rows; and per node of rows with equal sets: key, number of rows, least row, and that of its component if it is linked."""
     with small_batches(docs.sparkSession):
         rows = written(prefixes(docs, n, percent), "prefixes")
     full = rows.filter("size > 0")
-    nodes = full.groupBy("key").agg(F.min("doc_id").alias("node"), *[F.first(x).alias(x) for x in ("size", "gkey", "prefix", "parity")])
-    nodes = written(nodes.filter("node is not null"), "nodes")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "check")).alias("rep")
+    nodes = full.groupBy("key").agg(least_row, F.count(F.lit(1)).alias("n_rows"), *[F.first(x).alias(x) for x in ("size", "gkey", "prefix", "parity")])
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     groups = nodes.groupBy("gkey", "size").agg(F.min("node").alias("gid"), F.first("prefix").alias("prefix"))
 
     by = Window.partitionBy("token").orderBy("size", "gid")
@@ -259,7 +274,7 @@ def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     near = written(near.filter(may_link(c("na"), c("pa"), c("nb"), c("pb"), percent)).select("a", "b", apart(c("pa"), c("pb")).alias("d")), "near")
     # of these only each document's nearest is verified now; the others still meet below, unless they are linked by then
     best = near.select(c("a").alias("x"), F.struct("d", "a", "b").alias("p")).union(near.select(c("b").alias("x"), F.struct("d", "a", "b").alias("p"))).groupBy("x").agg(F.min("p").alias("p"))
-    links = verified(best.select("p.a", "p.b").distinct(), docs, n, percent)
+    links = verified(best.select("p.a", "p.b").distinct(), docs, nodes, n, percent)
     label = written(components(links), "labels")
 
     members = nodes.join(nodes.groupBy("gkey", "size").agg(F.min("node").alias("gid")), ["gkey", "size"]).select("gid", "node")
@@ -279,17 +294,39 @@ def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     may = (c("own") | fits(c("size_x"), c("pos_x"), c("size_y"), c("pos_y"))) & may_link(c("n_x"), c("parity_x"), c("n_y"), c("parity_y"), percent)
     far = x.join(y.withColumnsRenamed({"token": "t", "own": "o"}), (c("token") == c("t")) & (c("own") == c("o")) & once & may)
     far = far.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    more = verified(far, docs, n, percent)
+    more = verified(far, docs, nodes, n, percent)
     final = written(components(links.union(more)), "labels")
 
-    named = nodes.join(final, nodes.node == final.id, "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    done = full.select("doc_id", c("size").cast("long").alias("n_shingles"), "key").join(named, "key", "left")
-    return done.select("doc_id", "n_shingles", "component_id").union(rows.filter("size = 0").select("doc_id", c("size").cast("long"), "doc_id"))
+    linked = final.join(nodes.select(c("node").alias("id"), "rep"), "id")
+    per = written(linked.groupBy("component").agg(F.min("rep").alias("first")), "components")
+    if per.count() <= BROADCAST_IDS:
+        named = linked.join(F.broadcast(per), "component")
+    else:  # a component may hold a third of all nodes
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        named = linked.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(per.select("*", salt), ["component", "salt"])
+    named = named.select(c("id").alias("node"), "first")
+    return rows, nodes.select("node", "key", "rep", "n_rows").join(named, "node", "left")
+
+
+def similar(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    rows, nodes = labelled(docs, n, percent)
+    named = nodes.select("key", F.coalesce("first.doc_id", "rep.doc_id").alias("component_id"))
+    done = rows.filter("size > 0").select("doc_id", F.col("size").cast("long").alias("n_shingles"), "key").join(named, "key", "left")
+    return done.select("doc_id", "n_shingles", "component_id").union(rows.filter("size = 0").select("doc_id", F.col("size").cast("long"), "doc_id"))
 
 
 def first_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the least id (any one of equal rows), with the columns it came with."""
-    found = similar(docs, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(found.filter("doc_id is not null"), "doc_id", "left_semi").select(docs.columns)
-    once = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id is null"))
+    """One document of each component, with the columns it came with: the row with the least id, rows without one last (any one of equal rows).
+
+    Texts without words are linked with nothing and stay, but for rows that repeat an id.
+    """
+    _, nodes = labelled(docs, n, percent)
+    best = nodes.filter(F.col("first").isNull() | (F.col("first") == F.col("rep"))).select("rep.row", "rep.check", (F.col("n_rows") > 1).alias("many"))
+    best = small(written(best.withColumnsRenamed({"row": "__row", "check": "__check", "many": "__many"}), "kept"))
+    row, check = identity()
+    found = docs.join(best, (row == F.col("__row")) & (check == F.col("__check")))
+    once = found.filter("not __many").select(docs.columns)
+    equal = found.filter("__many").dropDuplicates(["__row", "__check"]).select(docs.columns)
+    bare = docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return once.unionByName(equal).unionByName(bare.filter("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(bare.filter("doc_id is null"))

@@ -26,13 +26,17 @@ def brute(rows, n=3, percent=90):
     groups = {}
     for i in range(len(rows)):
         groups.setdefault(root(i), []).append(i)
-    least = {r: min(rows[i][0] for i in g) for r, g in groups.items()}
-    return sorted((rows[i][0], len(sets[i]), least[root(i)]) for i in range(len(rows)))
+    least = {r: min((rows[i][0] for i in g if rows[i][0] is not None), default=None) for r, g in groups.items()}
+    return ordered((rows[i][0], len(sets[i]), least[root(i)]) for i in range(len(rows)))
+
+
+def ordered(found):
+    return sorted(found, key=lambda r: [(x is None, x or 0) for x in r])
 
 
 def run(spark, rows, n=3, percent=90):
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, size int").repartition(3)
-    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar(df, n, percent).collect())
+    return ordered((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar(df, n, percent).collect())
 
 
 def test_edges(spark):
@@ -76,3 +80,28 @@ def test_components(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_shared_and_missing_ids(spark):
+    word = lambda k: [f"{k}{i}" for i in range(40)]
+    a, b, c, d = (" ".join(word(k)) for k in "abcd")
+    near = lambda t: t + " z"
+    rows = [(7, a), (7, b), (5, near(a)), (3, near(b)), (None, c), (None, c), (None, near(c)), (None, d), (9, near(d)), (None, ""), (None, "e"), (7, a)]
+    assert run(spark, rows) == brute(rows)
+    assert {(i, x) for i, _, x in run(spark, rows)} >= {(7, 5), (7, 3), (5, 5), (3, 3), (None, None), (None, 9), (9, 9)}
+    assert len({x for i, _, x in run(spark, [(1, a), (1, b), (9, near(b))])}) == 1
+
+
+def test_no_text_without_a_near_copy_is_lost(spark):
+    r = random.Random(8)
+    bases = [" ".join(f"{r.choice('abcdefgh')}{r.randint(0, 30)}" for _ in range(r.randint(20, 60))) for _ in range(25)]
+    rows = [(r.choice([None, None, 1, 2, 3, r.randint(0, 400)]), r.choice(bases) + r.choice(["", "", " x", " y z", " " + r.choice(bases)])) for _ in range(250)]
+    got = [(x.doc_id, x.text) for x in ngram_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 90).collect()]
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    component = {i: x for i, _, x in brute(numbered)}
+    groups = {}
+    for i, x in component.items():
+        groups.setdefault(x, []).append(rows[i])
+    assert len(got) == len(groups)
+    want = ordered((min((j for j, _ in g if j is not None), default=None),) for g in groups.values())
+    assert ordered((i,) for i, _ in got) == want and all(any(x in g for x in got) for g in groups.values())
