@@ -1,38 +1,131 @@
-"""TXT-23: lenient answer matching, as column expressions over (response, gold)."""
+"""TXT-23: lenient answer matching, as column expressions over (response, gold), and the same rules as DuckDB SQL."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values ----------------------------------------------------------------------------------------------------
-NUMBER_WORDS = dict(zip("zero one two three four five six seven eight nine ten eleven twelve".split(), map(str, range(13)), strict=True))
-ARTICLES = ("a", "an", "the")
+# --- fixed values: words, names and country names of the matching rules ------------------------------------------------
+NUMBER_WORDS = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",
+    "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20",
+    "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90", "hundred": "100", "thousand": "1000",
+}
+NICKNAMES = {
+    "bill": "william", "bob": "robert", "dick": "richard", "ted": "theodore", "mike": "michael", "jim": "james", "joe": "joseph", "tom": "thomas",
+    "tony": "anthony", "al": "albert", "ed": "edward", "dan": "daniel", "ben": "benjamin", "chuck": "charles", "jack": "john", "jerry": "gerald",
+    "larry": "lawrence", "rick": "richard", "steve": "stephen", "will": "william", "liz": "elizabeth", "beth": "elizabeth", "kate": "katherine", "sue": "susan",
+    "peggy": "margaret", "maggie": "margaret", "meg": "margaret",
+}
+COUNTRY_NAMES = (
+    ("usa", "united states", "united states of america", "us", "america"), ("uk", "united kingdom", "great britain", "britain", "england"), ("ussr", "soviet union"),
+    ("prc", "peoples republic of china", "china"), ("south korea", "republic of korea", "korea"), ("north korea", "democratic peoples republic of korea", "dprk"),
+)
+DEMONYMS = {
+    "american": "united states", "british": "united kingdom", "english": "england", "scottish": "scotland", "welsh": "wales", "irish": "ireland", "northern irish": "northern ireland",
+    "french": "france", "german": "germany", "italian": "italy", "spanish": "spain", "portuguese": "portugal", "dutch": "netherlands", "belgian": "belgium", "swiss": "switzerland",
+    "austrian": "austria", "swedish": "sweden", "norwegian": "norway", "danish": "denmark", "finnish": "finland", "polish": "poland", "russian": "russia", "chinese": "china",
+    "japanese": "japan", "korean": "korea", "indian": "india", "australian": "australia", "canadian": "canada", "mexican": "mexico", "brazilian": "brazil",
+    "argentinian": "argentina", "chilean": "chile", "colombian": "colombia", "turkish": "turkey", "greek": "greece", "czech": "czech republic", "hungarian": "hungary",
+    "romanian": "romania", "serbian": "serbia", "croatian": "croatia", "thai": "thailand", "filipino": "philippines", "indonesian": "indonesia", "malaysian": "malaysia",
+    "vietnamese": "vietnam", "egyptian": "egypt", "nigerian": "nigeria", "south african": "south africa", "kenyan": "kenya", "iraqi": "iraq", "iranian": "iran",
+    "israeli": "israel", "saudi": "saudi arabia", "pakistani": "pakistan", "afghani": "afghanistan",
+}
+STEM_RULES = ((r"ies$", "y"), (r"ves$", "f"), (r"(s|ed|ing|ly)$", ""), (r"ied$", "y"))
+ARTICLES = r"\b(a|an|the)\b"
 # ---------------------------------------------------------------------------------------------------------------------
+SHORTEST, TOKENS_SHARE, STEMS_SHARE = 3, 0.8, 0.6
 
 
 def normalize_answer(text: Column) -> Column:
-    """Lower case, no punctuation, no articles, number words as digits, single spaces."""
-    w = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda x: (x != "") & ~x.isin(*ARTICLES))
-    digits = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    return F.array_join(F.transform(w, lambda x: F.coalesce(digits[x], x)), " ")
+    """Lower case, no articles, nothing but a-z, 0-9 and single spaces."""
+    kept = F.regexp_replace(F.regexp_replace(F.lower(text), ARTICLES, " "), "[^a-z0-9 ]", "")
+    return F.trim(F.regexp_replace(kept, " +", " "))
+
+
+def _mapped(words: Column, table: dict) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w))
+
+
+def with_numbers(text: Column) -> Column:
+    """Number words as digits; of neighbours that end and begin with digits the sum (once: a sum takes no further part, hence the bar)."""
+    def add(done: Column, word: Column) -> Column:
+        left, right = F.regexp_extract(done, "^(.*?)([0-9]+)$", 2), F.regexp_extract(word, "^([0-9]+)(.*)$", 1)
+        rest = F.regexp_extract(word, "^([0-9]+)(.*)$", 2)
+        total = (left.cast("decimal(38,0)") + right.cast("decimal(38,0)")).cast("string")
+        merged = F.concat(F.regexp_extract(done, "^(.*?)([0-9]+)$", 1), total, rest, F.when(rest == "", "|").otherwise(""))
+        return F.when((left != "") & (right != ""), merged).otherwise(F.concat(done, F.lit(" "), word))
+
+    return F.trim(F.translate(F.aggregate(_mapped(F.split(text, " "), NUMBER_WORDS), F.lit(""), add), "|", ""))
 
 
 def stem(word: Column) -> Column:
-    """A light suffix stripper."""
-    return F.regexp_replace(word, r"(?<=[a-z]{3})(ing|ed|es|s|ly|er)$", "")
+    return reduce(lambda w, rule: F.regexp_replace(w, *rule), STEM_RULES, word)
 
 
-def overlap(response: Column, gold: Column) -> Column:
-    """Share of the gold answer's distinct words that the response has."""
-    g, r = F.array_distinct(F.split(gold, " ")), F.array_distinct(F.split(response, " "))
-    return F.when(gold == "", 0.0).otherwise(F.size(F.array_intersect(g, r)) / F.size(g))
+def either_contains(r: Column, g: Column) -> Column:
+    return F.contains(r, g) | (F.contains(g, r) & (F.length(r) >= SHORTEST))
+
+
+def _share(wanted: Column, had: Column) -> Column:
+    """Share of the wanted words, repeated ones too, that are among those had."""
+    return F.size(F.filter(wanted, lambda w: F.array_contains(had, w))) / F.size(wanted)
+
+
+def _surname(tokens: Column, words: Column) -> Column:
+    """Two to four tokens whose last has four letters and is among the words, as is one with the first's first three letters, or its formal name's."""
+    first, last = F.get(tokens, F.lit(0)), F.element_at(tokens, -1)
+    formal = _mapped(F.slice(tokens, 1, 1), NICKNAMES)[0]
+    starts = F.exists(words, lambda w: w.startswith(F.substring(first, 1, 3)) | w.startswith(F.substring(formal, 1, 3)))
+    return F.when(F.size(tokens).between(2, 4), (F.length(last) >= 4) & F.array_contains(words, last) & starts).otherwise(F.lit(False))
 
 
 def answer_matches(response: Column, gold: Column) -> Column:
-    """Containment, 80 % of the words, or 60 % of the stems (answers of two words or more)."""
-    r, g = normalize_answer(response), normalize_answer(gold)
-    stems = lambda t: F.array_distinct(F.transform(F.split(t, " "), stem))
-    share = F.size(F.array_intersect(stems(g), stems(r))) / F.size(stems(g))
-    many = F.size(F.split(g, " ")) >= 2
-    return F.when((r == "") | (g == ""), False).otherwise(F.contains(r, g) | F.contains(g, r) | (overlap(r, g) >= 0.8) | (many & (share >= 0.6)))
+    """Nine rules, one of which has to hold: containment, tokens, numbers, stems, nicknames, shares of stems, countries, demonyms, surnames."""
+    r, g = normalize_answer(F.replace(response, F.lit("**"), F.lit(""))), normalize_answer(gold)
+    words_r, words_g = F.split(r, " "), F.split(g, " ")
+    tokens_r, tokens_g = (F.filter(w, lambda x: F.length(x) > 1) for w in (words_r, words_g))
+    stems = lambda w: F.transform(w, stem)
+    joined = lambda w: F.array_join(w, " ")
+    n = F.size(tokens_g)
+    named = lambda t, names: reduce(lambda a, b: a | b, [t.rlike(rf"\b{x}\b") for x in names])
+    rules = [
+        either_contains(r, g),
+        (n >= 2) & (_share(tokens_g, words_r) >= TOKENS_SHARE),
+        either_contains(with_numbers(r), with_numbers(g)),
+        either_contains(joined(stems(words_r)), joined(stems(words_g))),
+        either_contains(joined(_mapped(words_r, NICKNAMES)), joined(_mapped(words_g, NICKNAMES))),
+        (n >= 3) & (_share(stems(tokens_g), stems(words_r)) >= STEMS_SHARE),
+        *[named(r, names) & named(g, names) for names in COUNTRY_NAMES],
+        *[(F.contains(r, F.lit(d)) & F.contains(g, F.lit(c))) | (F.contains(r, F.lit(c)) & F.contains(g, F.lit(d))) for d, c in DEMONYMS.items()],
+        _surname(tokens_g, words_r),
+        _surname(tokens_r, words_g),
+    ]
+    holds = F.coalesce(*[F.when(rule, F.lit(True)) for rule in rules], F.lit(False))
+    return F.when((response == "") | (gold == "") | response.isNull() | gold.isNull(), False).otherwise(holds)
+
+
+def answer_sql(source: str, keys: str) -> str:
+    """DuckDB SQL of the rules: ``keys`` and ``matches`` for the rows (keys, response, gold) of the query ``source``."""
+    norm = lambda t: rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({t}), '\b(a|an|the)\b', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+    mapped = lambda w, table: f"list_transform({w}, lambda x: coalesce(MAP {{{', '.join(f'{k!r}: {v!r}' for k, v in table.items())}}}[x], x))"
+    stemmed = lambda w: f"list_transform({w}, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, 'ies$', 'y'), 'ves$', 'f'), '(s|ed|ing|ly)$', ''), 'ied$', 'y'))"
+    either = lambda a, b: f"(contains({a}, {b}) OR (contains({b}, {a}) AND length({a}) >= 3))"
+    text = lambda w: f"array_to_string({w}, ' ')"
+    share = lambda a, b: f"len(list_filter({a}, lambda x: list_contains({b}, x))) / greatest(len({a}), 1)"
+    total = "regexp_extract(a, '([0-9]+)$', 1)::HUGEINT + regexp_extract(x, '^([0-9]+)', 1)::HUGEINT"
+    rest = "regexp_replace(x, '^[0-9]+', '')"
+    summed = lambda w: f"""trim(replace(list_reduce(list_prepend('', {mapped(w, NUMBER_WORDS)}), lambda a, x: CASE WHEN regexp_matches(a, '[0-9]$') AND regexp_matches(x, '^[0-9]') THEN regexp_replace(a, '[0-9]+$', '') || ({total})::VARCHAR || {rest} || CASE WHEN {rest} = '' THEN '|' ELSE '' END ELSE a || ' ' || x END), '|', ''))"""
+    countries = " OR ".join(f"(regexp_matches(r, '{p}') AND regexp_matches(g, '{p}'))" for p in (r"\b(?:" + "|".join(names) + r")\b" for names in COUNTRY_NAMES))
+    demonyms = " OR ".join(f"(contains(r, '{d}') AND contains(g, '{c}')) OR (contains(r, '{c}') AND contains(g, '{d}'))" for d, c in DEMONYMS.items())
+    surname = lambda t, w: f"(len({t}) BETWEEN 2 AND 4 AND length({t}[-1]) >= 4 AND list_contains({w}, {t}[-1]) AND len(list_filter({w}, lambda y: starts_with(y, {t}[1][:3]) OR starts_with(y, {mapped(f'{t}[1:1]', NICKNAMES)}[1][:3]))) > 0)"
+    return f"""WITH m_n AS (SELECT *, {norm("replace(response, '**', '')")} AS r, {norm('gold')} AS g FROM ({source})),
+    m_w AS (SELECT *, string_split(r, ' ') AS wr, string_split(g, ' ') AS wg FROM m_n),
+    m_t AS (SELECT *, list_filter(wr, lambda x: length(x) > 1) AS tr, list_filter(wg, lambda x: length(x) > 1) AS tg FROM m_w)
+    SELECT {keys}, CASE WHEN response IS NULL OR gold IS NULL OR response = '' OR gold = '' THEN false ELSE coalesce({either('r', 'g')}
+    OR (len(tg) >= 2 AND {share('tg', 'wr')} >= 0.8) OR {either(summed('wr'), summed('wg'))} OR {either(text(stemmed('wr')), text(stemmed('wg')))}
+    OR {either(text(mapped('wr', NICKNAMES)), text(mapped('wg', NICKNAMES)))} OR (len(tg) >= 3 AND {share(stemmed('tg'), stemmed('wr'))} >= 0.6)
+    OR {countries} OR {demonyms} OR {surname('tg', 'wr')} OR {surname('tr', 'wg')}, false) END AS matches FROM m_t"""

@@ -85,32 +85,57 @@ def majority_vote(answers: DataFrame, group: str, answer: str, position: str) ->
 
 
 def grounded(answer, passage) -> Column:
-    """QA-5: short answers at a word boundary; containment; 60 % of the words of two or more; all longer words of up to three."""
+    """QA-5: short answers as whole words, others contained; or 60 % of two or more words; or all words of four letters of up to three.
+
+    One-letter words don't count, and repeated words count each time.
+    """
     a, p = text.normalize_grounding(answer), text.normalize_grounding(passage)
-    w = F.filter(F.split(a, " "), lambda x: x != "")
-    pw = F.split(p, " ")
-    n = F.size(w)
-    short = F.array_contains(pw, a)
-    inside = F.contains(p, a)
-    share = F.size(F.array_intersect(F.array_distinct(w), pw)) / F.size(F.array_distinct(w))
+    w, pw = F.filter(F.split(a, " "), lambda x: F.length(x) > 1), F.split(p, " ")
+    padded = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
+    inside = F.when(F.length(a) <= 3, F.contains(padded(p), padded(a))).otherwise(F.contains(p, a))
+    share = F.size(F.filter(w, lambda x: F.array_contains(pw, x))) / F.size(w)
     long_words = F.filter(w, lambda x: F.length(x) >= 4)
-    all_long = (n <= 3) & (F.size(long_words) > 0) & F.forall(long_words, lambda x: F.contains(p, x))
-    return F.when(a == "", False).otherwise(F.when(F.length(a) <= 3, short).otherwise(inside | ((n >= 2) & (share >= 0.6)) | all_long))
+    all_long = (F.size(w) <= 3) & (F.size(long_words) > 0) & F.forall(long_words, lambda x: F.contains(p, x))
+    return F.coalesce(F.when(a == "", False).otherwise(inside | F.when(F.size(w) >= 2, share >= 0.6).otherwise(False) | all_long), F.lit(False))
+
+
+# --- fixed values: what an explicit comparison looks like -------------------------------------------------------------
+EXPLICIT = (
+    r"(?i)\b(?:while|whereas|but|however|on the other hand)\b",
+    r"(?i)(?:entity|first|second|former|latter)\b.*\b(?:is|was|has|had)\b",
+    r"(?s)\b\d+[.)]\s+\w+.*\b\d+[.)]\s+\w+",
+)
+# ---------------------------------------------------------------------------------------------------------------------
 
 
-def comparison_answer_ok(answer) -> Column:
-    """QA-3: whether an answer to a comparison names a choice: not a hedge, not both, not a refusal."""
-    hedge = r"(?i)\b(?:cannot|can't|not enough|unclear|unknown|insufficient)\b|(?i)\bboth\b.*\bsame\b|^\s*$"
-    return ~(F.col(answer) if isinstance(answer, str) else answer).rlike(hedge)
+def explicit_comparison(reply) -> Column:
+    """QA-3: whether a reply to a comparison compares in so many words: a contrast, a statement about each, or two numbered items."""
+    c = F.coalesce(F.col(reply) if isinstance(reply, str) else reply, F.lit(""))
+    return c.rlike(EXPLICIT[0]) | c.rlike(EXPLICIT[1]) | c.rlike(EXPLICIT[2])
 
 
-def decomposition(reply) -> DataFrame | Column:
-    """QA-4: a two-hop decomposition from JSON, with the reason where it cannot be used."""
-    r = F.from_json(reply, "struct<hop1:string,hop2:string>")
-    h1, h2 = F.trim(r.hop1), F.trim(r.hop2)
+def decomposition(reply: Column) -> Column:
+    """QA-4: (hop1, hop2, bridge_hint, fallback_reason) of a reply in JSON; the questions are null where there is a reason."""
+    v = F.try_parse_json(reply)
+    strip = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+
+    def field(name: str) -> Column:
+        """A field's trimmed text, null if it isn't a text."""
+        is_text = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING"
+        return F.when(is_text, strip(F.try_variant_get(v, f"$.{name}", "string")))
+
+    h1, h2, hint = field("hop1SubQuestion"), field("hop2SubQuestion"), field("bridgeEntityHint")
+    slot = F.lit("{hop1Answer}")
     reason = (
-        F.when(reply.isNull() | (F.trim(reply) == ""), "empty_reply").when(r.isNull() | (r.hop1.isNull() & r.hop2.isNull()), "parse_error")
-        .when(h1.isNull() | (h1 == ""), "empty_hop1").when(h2.isNull() | (h2 == ""), "empty_hop2")
-        .when(~F.contains(h2, F.lit("{hop1Answer}")), "missing_placeholder").when(F.lower(h1) == F.lower(h2), "same_hops")
+        F.when(v.isNull(), "decomposition_parse_error").when(h1.isNull() | (h1 == "") | h2.isNull() | (h2 == ""), "decomposition_missing_field")
+        .when(~F.contains(h2, slot), "decomposition_missing_placeholder").when(F.lower(h1) == F.lower(strip(F.replace(h2, slot, F.lit("")))), "decomposition_duplicate_hops")
     )
-    return F.struct(h1.alias("hop1"), h2.alias("hop2"), reason.alias("fallback_reason"))
+    usable = lambda c: F.when(reason.isNull(), c)
+    return F.struct(usable(h1).alias("hop1"), usable(h2).alias("hop2"), usable(F.nullif(hint, F.lit(""))).alias("bridge_hint"), reason.alias("fallback_reason"))
+
+
+def merged_context(passages: DataFrame, facts: DataFrame) -> DataFrame:
+    """TOP-7: the prompt of merged passages and facts (rank in merged order), confidence being the first passage's score."""
+    lines = simple_context(passages, facts).select("context")
+    first = passages.agg(F.coalesce(F.min_by("score", "rank"), F.lit(0.0)).alias("confidence"))
+    return lines.join(first)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import ids
+from strandloom.operators.components import components
 from strandloom.sources.store import cut
 
 EMPTY_DST = "__none__"
@@ -122,20 +123,14 @@ def isa_bridges(schemas: DataFrame, relations: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """AGG-2: (node_id, component), component being the least id reachable; edges with unknown ends do not count.
 
-    Least-label propagation with pointer jumping; each round is cut to the shared folder, and only a count reaches the driver.
+    Nodes are numbered once, so that the rounds exchange numbers only; components are named at the end.
     """
-    known = nodes.select("node_id").distinct()
-    e = edges.select("src", "dst").filter("src <> dst").join(known.withColumnRenamed("node_id", "src"), "src", "left_semi").join(known.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-    both = cut(e.select("src", "dst").union(e.select("dst", "src")).distinct(), "edges")
-    label = cut(known.withColumn("component", F.col("node_id")), "labels")
-    while True:
-        near = both.join(label.withColumnRenamed("node_id", "dst"), "dst").groupBy("src").agg(F.min("component").alias("near"))
-        step = label.join(near.withColumnRenamed("src", "node_id"), "node_id", "left").select("node_id", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        jump = step.select(F.col("node_id").alias("next"), F.col("next").alias("far"))
-        new = cut(step.join(jump, "next").select("node_id", "component", F.least("next", "far").alias("next")), "labels")
-        label = new.select("node_id", F.col("next").alias("component"))
-        if not new.filter("component <> next").limit(1).count():
-            return label
+    known = cut(nodes.select("node_id").distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
+    end = lambda c, n: known.select(F.col("node_id").alias(c), F.col("id").alias(n))
+    numbered = edges.select("src", "dst").filter("src <> dst").join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("a", "b")
+    linked = cut(components(numbered).join(known, "id"), "components")
+    named = linked.join(linked.groupBy("component").agg(F.min("node_id").alias("name")), "component").select("node_id", F.col("name").alias("component"))
+    return named.unionByName(known.join(linked, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component")))
 
 
 def multi_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3, least_weight: float = 0.0, relations: list[str] | None = None, limit: int = 50) -> DataFrame:

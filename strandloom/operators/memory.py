@@ -63,14 +63,32 @@ def conflict_type(a: str, b: str) -> Column:
     return F.when(tail, "mutually_exclusive").when(scope, "temporal").when(parent, "granularity")
 
 
-def conflicts(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """JN-7: (fact_id, other_id, conflict_type) of new facts against stored active ones with the same head and relation."""
+def conflicts(new: DataFrame, stored: DataFrame, limit: int | None = None) -> DataFrame:
+    """JN-7: (fact_id, other_id, conflict_type) of new facts against stored active ones with the same head and relation.
+
+    With ``limit`` a new fact is held against the first ``limit`` active facts by id other than itself; without, against all: rows are
+    then as many as the pairs of facts that share head and relation.
+    """
     keyed = lambda df: df.withColumn("h", ids.term("head_entity")).withColumn("r", ids.term("relation"))
-    a, b = keyed(new).alias("a"), keyed(stored.filter(F.col("state") == "active")).alias("b")
+    active = stored.filter(F.col("state") == "active")
+    if limit is not None:
+        # one more than the limit, for new facts that are among the first themselves
+        first = active.orderBy("fact_id").limit(limit + 1).withColumn("__place", F.row_number().over(Window.orderBy("fact_id")))
+        own = F.broadcast(first.select("fact_id", F.col("__place").alias("__own")))
+        new, active = new.join(own, "fact_id", "left").withColumn("__own", F.coalesce("__own", F.lit(limit + 1))), F.broadcast(first)
+    a, b = keyed(new).alias("a"), keyed(active).alias("b")
     j = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.r") == F.col("b.r")) & (F.col("a.fact_id") != F.col("b.fact_id")))
+    if limit is not None:
+        j = j.filter((F.col("b.__place") <= limit) | (F.col("a.__own") <= limit))
     return j.select(F.col("a.fact_id").alias("fact_id"), F.col("b.fact_id").alias("other_id"), conflict_type("a", "b").alias("conflict_type")).filter("conflict_type is not null")
 
 
+def conflict_sets(new: DataFrame, stored: DataFrame, limit: int = 100) -> DataFrame:
+    """JN-7: per new fact and type of conflict the facts in conflict, at most ``limit``."""
+    found = conflicts(new, stored, limit)
+    return found.groupBy("fact_id", "conflict_type").agg(F.array_sort(F.collect_list("other_id")).alias("others"))
+
+
 def active_window(facts: DataFrame, limit: int = ACTIVE_WINDOW) -> DataFrame:
     """FLT-8: the first active facts by id; the limit is the operator's own."""
     return facts.filter(F.col("state") == "active").orderBy("fact_id").limit(limit)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import text
-from strandloom.operators.context import majority_vote
+from strandloom.operators.context import decomposition, explicit_comparison, grounded, majority_vote
 
 DIMENSIONS = 8
 LONGEST = 7000
@@ -84,3 +84,70 @@ def answers(questions: DataFrame, key: str, prompt: str, answerer: Answerer, sam
 def second_hop(hop2: Column, hop1_answer: Column, grounded: Column) -> Column:
     """QA-6: the second question with the first answer in it, or null where the answer is empty or not grounded."""
     return F.when((F.trim(hop1_answer) != "") & grounded, F.replace(hop2, F.lit("{hop1Answer}"), hop1_answer))
+
+
+# --- fixed value ------------------------------------------------------------------------------------------------------
+ENHANCED = (
+    "IMPORTANT: Before giving your yes/no answer, you MUST explicitly state the relevant attribute or value for EACH entity being compared. "
+    "Then derive your answer from those values."
+)
+# ---------------------------------------------------------------------------------------------------------------------
+
+
+def _asked(df: DataFrame, prompt: Column, answerer: Answerer, sample: int, out: str) -> DataFrame:
+    """``df`` with the replies to its prompts; a null prompt is not asked."""
+    schema = df.withColumn(out, F.lit("").cast("string")).schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            ask = pdf["__prompt"].notna()
+            replies = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            if ask.any():
+                replies[ask] = answerer(list(pdf.loc[ask, "__prompt"]), sample)
+            yield pdf.drop(columns="__prompt").assign(**{out: replies})
+
+    return df.withColumn("__prompt", prompt).mapInPandas(run, schema)
+
+
+def verify_comparisons(replies: DataFrame, answerer: Answerer) -> DataFrame:
+    """QA-3: rows (query, context, reply, answer) with ``verified``: a reply that doesn't compare explicitly is asked for once more.
+
+    The second answer counts if its reply compares explicitly; otherwise the first one stays, not verified.
+    """
+    ok = explicit_comparison("reply")
+    again = F.concat(F.col("query"), F.lit(f"\n\n{ENHANCED}\n\nContext:\n"), F.col("context"), F.lit("\n\nReasoning and answer:"))
+    asked = _asked(replies, F.when(~ok, again), answerer, 0, "second")
+    better = F.col("second").isNotNull() & explicit_comparison("second")
+    return asked.withColumn("verified", ok | better).withColumn("answer", F.when(~ok & better, text.final_answer("second")).otherwise(F.col("answer"))).drop("second")
+
+
+def reason_in_two_hops(questions: DataFrame, decomposer: Answerer, answerer: Answerer, samples: int = 1) -> DataFrame:
+    """QA-6: rows (query, passages: array of (id, text)) with hop answers, ``answer`` and ``fallback_reason``.
+
+    A reply of null is an error of the model. With several samples the second hop is asked that often; replies that fail are
+    skipped, ungrounded answers count without passages, and the most frequent answer wins, the first seen on a tie.
+    """
+    listed = F.array_join(F.transform("passages", lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), p.id, F.lit(") "), p.text)), "\n\n")
+    prompt = lambda q: F.when(q.isNotNull(), F.concat(F.lit("Passages:\n"), listed, F.lit("\n\nQuestion: "), q))
+    cited = lambda a: F.transform(F.filter("passages", lambda p: grounded(a, p.text)), lambda p: p.id)
+    decompose = F.concat(F.lit('Decompose this question into 2 sub-questions:\n\n"'), F.col("query"), F.lit('"'))
+    df = _asked(questions, decompose, decomposer, 0, "__d").withColumn("d", decomposition(F.col("__d")))
+    df = _asked(df, prompt(F.col("d.hop1")), answerer, 0, "__r1").withColumn("hop1_answer", text.final_answer("__r1"))
+    df = df.withColumn("hop1_passages", cited(F.col("hop1_answer")))
+    reason = (
+        F.when(F.col("__d").isNull(), "llm_api_error").when(F.col("d.fallback_reason").isNotNull(), F.col("d.fallback_reason")).when(F.col("__r1").isNull(), "llm_api_error")
+        .when(F.trim("hop1_answer") == "", "hop1_empty").when(F.size("hop1_passages") == 0, "hop1_ungrounded")
+    )
+    df = df.withColumn("reason", reason)
+    second = F.when(F.col("reason").isNull(), F.replace(F.col("d.hop2"), F.lit("{hop1Answer}"), F.col("hop1_answer")))
+    for i in range(samples):
+        df = _asked(df, prompt(second), answerer, i, f"__r2_{i}")
+    found = F.filter(F.transform(F.array(*[text.final_answer(f"__r2_{i}") for i in range(samples)]), lambda a: F.when(F.trim(a) != "", a)), lambda a: a.isNotNull())
+    df = df.withColumn("found", found)
+    votes = F.transform("found", lambda a, i: F.struct(F.size(F.filter("found", lambda b: text.normalize_grounding(b) == text.normalize_grounding(a))).alias("n"), (-i).alias("first"), a.alias("a")))
+    df = df.withColumn("hop2_answer", F.array_max(votes).a).withColumn("hop2_passages", cited(F.col("hop2_answer")))
+    late = F.when(F.size("found") == 0, F.when(F.coalesce(*[F.col(f"__r2_{i}") for i in range(samples)]).isNull() & F.lit(samples == 1), "llm_api_error").otherwise("hop2_empty"))
+    late = late.when((F.size("hop2_passages") == 0) & F.lit(samples == 1), "hop2_ungrounded")
+    df = df.withColumn("fallback_reason", F.coalesce("reason", late))
+    answer = F.when(F.col("fallback_reason").isNull(), F.col("hop2_answer")).otherwise("")
+    return df.select(*questions.columns, "hop1_answer", "hop2_answer", "hop2_passages", answer.alias("answer"), "fallback_reason")

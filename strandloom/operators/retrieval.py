@@ -147,6 +147,14 @@ def federate(hits: DataFrame, budget: int = 8000, ratio: float = 0.6, top: int =
     return capped.orderBy(F.col("score").desc(), "db_id", "passage_id").limit(top)
 
 
+def federate_facts(facts: DataFrame, top: int = 10, k: int = RRF_K) -> DataFrame:
+    """TOP-7: facts (db_id, fact_id, ..., rank, weight) of several databases: of equal ids the best score stays, then the global top; no cap."""
+    scored = facts.withColumn("score", F.round(F.col("weight") / (k + F.col("rank")), 12))
+    best = Window.partitionBy("fact_id").orderBy(F.col("score").desc(), "db_id", "rank")
+    once = scored.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn", "weight")
+    return once.orderBy(F.col("score").desc(), "db_id", "fact_id").limit(top)
+
+
 def namespaced(df: DataFrame, columns: list[str], db: str = "db_id") -> DataFrame:
     """Federated identifiers: ``{db}:{id}``."""
     return df.withColumns({c: F.concat_ws(":", F.col(db), F.col(c)) for c in columns})

@@ -68,6 +68,12 @@ def q_conflicts(s, d):
     return out.select("fact_id", "other_id", "conflict_type")
 
 
+def q_conflict_sets(s, d):
+    """Every fact as a new one against the first hundred active ones."""
+    c = tables.conflict_facts(s, d)
+    return memory.conflict_sets(c, c).select("fact_id", "conflict_type", F.array_join("others", ",").alias("others"))
+
+
 def q_window(s, d):
     return memory.active_window(facts(s, d)).select("fact_id")
 
@@ -144,7 +150,7 @@ def q_sections(s, d):
 
 def q_counts(s, d):
     f = facts(s, d).withColumn("state", F.when(F.col("doc_id") % 3 == 0, "inactive").otherwise("active"))
-    return stats.corpus_counts({"passages": tables.passages(s, d).filter("doc_id % 2 = 0"), "facts": f, "schemas": tables.schemas(f, 500)})
+    return stats.corpus_counts({"passages": tables.passages(s, d), "facts": f, "schemas": tables.schemas(f, 500)})
 
 
 def q_audit(s, d):
@@ -406,6 +412,14 @@ QUERIES = {
     "idx2_contributions": (q_contributions, f"{with_ctes('facts')} SELECT schema_id, count(DISTINCT doc_id) AS n FROM facts WHERE doc_id % 2 = 1 GROUP BY 1"),
     "idx1_stabilize": (q_stabilize, f"{with_ctes('facts')}, o AS (SELECT schema_id, count(DISTINCT doc_id) FILTER (doc_id = 0) AS b, count(DISTINCT doc_id) AS n FROM facts GROUP BY 1) SELECT schema_id, n AS frequency, CASE WHEN n >= 2 THEN 'stable' ELSE 'pending' END AS state, n >= 2 AS newly_stable FROM o UNION ALL VALUES ('schema:rare', 1, 'pending', false), ('schema:kept', 1, 'stable', false)"),
     "idx3_activate": (q_activate, f"{with_ctes('facts')}, c AS (SELECT schema_id, count(DISTINCT doc_id) AS n FROM facts GROUP BY 1) SELECT relation, CASE WHEN n >= 500 THEN 'active' ELSE 'inactive' END AS state, count(*) AS n FROM facts JOIN c USING (schema_id) GROUP BY 1, 2"),
+    "jn7_conflict_sets": (
+        q_conflict_sets,
+        f"""{with_ctes('conflict_facts')}, act AS (SELECT *, row_number() OVER (ORDER BY fact_id) AS place FROM conflict_facts WHERE state = 'active'),
+        own AS (SELECT c.*, coalesce(act.place, 101) AS own FROM conflict_facts c LEFT JOIN act USING (fact_id)),
+        j AS (SELECT a.fact_id, b.fact_id AS other_id, CASE WHEN lower(a.tail_entity) <> lower(b.tail_entity) THEN 'mutually_exclusive' WHEN a.temporal_scope IS DISTINCT FROM b.temporal_scope THEN 'temporal' WHEN a.parent IS DISTINCT FROM b.parent THEN 'granularity' END AS conflict_type
+        FROM own a JOIN act b ON lower(a.head_entity) = lower(b.head_entity) AND lower(a.relation) = lower(b.relation) AND a.fact_id <> b.fact_id WHERE b.place <= 100 OR (b.place = 101 AND a.own <= 100))
+        SELECT fact_id, conflict_type, string_agg(other_id, ',' ORDER BY other_id) AS others FROM j WHERE conflict_type IS NOT NULL GROUP BY 1, 2""",
+    ),
     "jn7_conflicts": (q_conflicts, f"""{with_ctes('conflict_facts')} SELECT * FROM (SELECT a.fact_id, b.fact_id AS other_id, CASE WHEN lower(a.tail_entity) <> lower(b.tail_entity) THEN 'mutually_exclusive' WHEN a.temporal_scope IS DISTINCT FROM b.temporal_scope THEN 'temporal' WHEN a.parent IS DISTINCT FROM b.parent THEN 'granularity' END AS conflict_type FROM conflict_facts a JOIN conflict_facts b ON a.head_entity = b.head_entity AND a.fact_id <> b.fact_id WHERE a.fact_id LIKE '%:1') WHERE conflict_type IS NOT NULL"""),
     "flt8_active_window": (q_window, f"{with_ctes('facts')} SELECT fact_id FROM facts ORDER BY fact_id LIMIT 100"),
     "idx4_resolve": (q_resolve, f"""{with_ctes('conflict_facts')}, c AS (SELECT a.fact_id AS x, b.fact_id AS y FROM conflict_facts a JOIN conflict_facts b ON a.head_entity = b.head_entity AND a.fact_id <> b.fact_id WHERE a.fact_id LIKE '%:1' AND (a.tail_entity <> b.tail_entity OR a.temporal_scope <> b.temporal_scope OR a.parent <> b.parent)), d AS (SELECT 'cf:' || l_orderkey || ':' || l_linenumber AS f, l_discount AS v FROM lineitem), r AS (SELECT CASE WHEN p.v > q.v THEN 'keep_new' WHEN p.v < q.v THEN 'keep_existing' ELSE 'keep_both' END AS resolution FROM c JOIN d p ON p.f = x JOIN d q ON q.f = y) SELECT resolution, count(*) AS n, sum(CASE WHEN resolution = 'keep_both' THEN 0 ELSE 1 END)::BIGINT AS inactivated FROM r GROUP BY 1"""),
@@ -419,7 +433,7 @@ QUERIES = {
     "src4_by_ids": (q_by_ids, "SELECT unnest([5, 1, 0])::BIGINT AS doc_id, unnest([1, 2, 3])::BIGINT AS place"),
     "src5_jn6_facts_by_entities": (q_by_entities, f"{with_ctes('facts')} SELECT fact_id FROM facts WHERE lower(head_entity) IN ('nation_3', 'europe', 'order_7') OR lower(tail_entity) IN ('nation_3', 'europe', 'order_7') ORDER BY fact_id LIMIT 200"),
     "src6_sections": (q_sections, f"{with_ctes('facts', 'passages', 'schemas')} SELECT 'schemas' AS section, count(*) AS n FROM schemas UNION ALL SELECT 'facts', count(*) FROM facts UNION ALL SELECT 'passages', count(*) FROM passages"),
-    "agg1_jn4_corpus_counts": (q_counts, f"{with_ctes('facts')} SELECT (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS passages, (SELECT count(*) FROM facts) AS facts, (SELECT count(DISTINCT schema_id) FROM facts) AS schemas, (SELECT count(*) FROM (SELECT schema_id FROM facts GROUP BY 1 HAVING count(DISTINCT doc_id) >= 500)) AS stable_schemas, (SELECT count(*) FROM facts WHERE doc_id % 3 <> 0) AS active_facts, (SELECT count(*) FROM facts WHERE doc_id % 3 = 0) AS inactive_facts, (SELECT count(DISTINCT fact_id) FROM facts WHERE doc_id % 2 = 0) AS linked_facts"),
+    "agg1_jn4_corpus_counts": (q_counts, f"{with_ctes('facts')} SELECT (SELECT count(*) FROM documents) AS passages, (SELECT count(*) FROM facts) AS facts, (SELECT count(DISTINCT schema_id) FROM facts) AS schemas, (SELECT count(*) FROM (SELECT schema_id FROM facts GROUP BY 1 HAVING count(DISTINCT doc_id) >= 500)) AS stable_schemas, (SELECT count(*) FROM facts WHERE doc_id % 3 <> 0) AS active_facts, (SELECT count(*) FROM facts WHERE doc_id % 3 = 0) AS inactive_facts, (SELECT count(DISTINCT fact_id) FROM facts) AS linked_facts"),
     "agg3_conflict_distribution": (q_audit, "SELECT CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE event_type END AS resolution_state, count(*) AS n FROM events GROUP BY 1"),
     "dict3_agg9_evidence": (q_evidence, f"{with_ctes('facts')}, {EVIDENCE} SELECT entity, evidence_type, sum(occurrences)::BIGINT AS occurrences, round(max(confidence), 6) AS confidence, count(*) AS rows, min(passage_id) AS passage_id FROM ev GROUP BY 1, 2"),
     "dict5_agg10_dictionary": (q_dictionary, f"{LEX} SELECT term_id, canonical, array_to_string(aliases, '|') AS aliases, frequency, round(confidence, 6) AS confidence FROM dic"),

@@ -75,8 +75,8 @@ def q_hybrid(s, d):
 
 
 def federated_hits(s, d):
-    """Each language is a database; its BM25 ranks for every benchmark question's first twenty."""
-    h = retrieval.bm25(docs(s, d), questions(s, d).filter("query_id < 5"), 60).groupBy("doc_id").agg(F.max("score").alias("score")).join(docs(s, d).select("doc_id", "lang", "source", "text"), "doc_id")
+    """Each language is a database; its forty best documents by their best BM25 for any of the benchmark's questions."""
+    h = retrieval.bm25(docs(s, d), questions(s, d)).groupBy("doc_id").agg(F.max("score").alias("score")).join(docs(s, d).select("doc_id", "lang", "source", "text"), "doc_id")
     r = retrieval.ranked(h, "lang", "doc_id").filter("rank <= 40")
     return r.select(F.col("lang").alias("db_id"), F.concat(F.lit("passage:"), F.col("doc_id").cast("string"), F.lit(":0")).alias("passage_id"), F.col("source").alias("source_url"), "text", "rank", F.lit(1.0).alias("weight"))
 
@@ -96,7 +96,7 @@ def q_federated_dedup(s, d):
 
 
 FED = f"""WITH {BM25},
-f_h AS (SELECT doc_id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm WHERE query_id < 5) WHERE r <= 60 GROUP BY doc_id),
+f_h AS (SELECT doc_id, max(score) AS score FROM bm GROUP BY doc_id),
 f_r AS (SELECT lang AS db_id, 'passage:' || doc_id || ':0' AS passage_id, source, text, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rank FROM f_h JOIN documents USING (doc_id)),
 f_s AS (SELECT db_id, passage_id, rank, round(1.0 / ({K} + rank), 12) AS score, ceil(length(text) / 4)::BIGINT AS tokens, source || '::' || substr(sha256(lower(trim(regexp_replace(text, '[\\s\\x{{A0}}\\x{{3000}}\\x{{FEFF}}]+', ' ', 'g')))), 1, 16) AS k FROM f_r WHERE rank <= 40),
 f_d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, db_id, passage_id) AS rn FROM f_s) WHERE rn = 1)"""
@@ -199,15 +199,67 @@ def q_grounding(s, d):
     return t.select("conv_id", "turn", context.grounded(F.array_join(F.slice(F.split("text", " "), 1, 2), " "), F.col("passage")).alias("grounded"))
 
 
+REPLIES = (
+    "Alpha was founded in 1990 while Beta came later.", "The former\nis older. The first of them has two.", "1. Alpha is 10\n2. Beta is 20", "Yes.", "On the Other Hand it may", "the butter thing", "", "Second was it", "1) a 2.b",
+)
+DECOMPOSITIONS = (
+    '{"hop1SubQuestion": " Who wrote it? ", "hop2SubQuestion": "Where was {hop1Answer} born?", "bridgeEntityHint": " person "}', '{"hop1SubQuestion": "", "hop2SubQuestion": "x {hop1Answer}"}', "not json",
+    '{"hop1SubQuestion": "a", "hop2SubQuestion": "b"}', "", '{"hop1SubQuestion": "Who is", "hop2SubQuestion": "WHO is {hop1Answer}"}', '{"hop1SubQuestion": 5, "hop2SubQuestion": "x {hop1Answer}"}',
+    '{"hop1SubQuestion": "a", "hop2SubQuestion": "b {hop1Answer} {hop1Answer}", "bridgeEntityHint": ""}', '{"hop2SubQuestion": "x {hop1Answer}"}', "[1, 2]",
+)
+
+
+def quoted(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
 def q_verify(s, d):
-    return table(s, d, "conversations").groupBy("role").agg(F.count_if(context.comparison_answer_ok("text")).alias("ok"), F.count(F.lit(1)).alias("n"))
+    """Turns of all conversations, and each followed by one of the fixed replies."""
+    c = table(s, d, "conversations")
+    reply = F.element_at(F.array(*map(F.lit, REPLIES)), (F.col("conv_id") + F.col("turn")).cast("int") % len(REPLIES) + 1)
+    rows = c.select("conv_id", "turn", "text").unionByName(c.select("conv_id", (F.col("turn") + 1000).alias("turn"), reply.alias("text")))
+    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), context.explicit_comparison("text").alias("explicit"))
 
 
 def q_decompose(s, d):
-    t = F.col("turn") % 5
-    reply = F.when(t == 0, F.lit('{"hop1": "Who?", "hop2": "Where is {hop1Answer}?"}')).when(t == 1, F.lit('{"hop1": "", "hop2": "x {hop1Answer}"}')).when(t == 2, F.lit("not json")).when(t == 3, F.lit('{"hop1": "a", "hop2": "b"}')).otherwise(F.lit(""))
-    c = table(s, d, "conversations").select(context.decomposition(reply).alias("r"))
-    return c.groupBy(F.coalesce("r.fallback_reason", F.lit("usable")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    reply = F.element_at(F.array(*map(F.lit, DECOMPOSITIONS)), (F.col("conv_id") + F.col("turn")).cast("int") % len(DECOMPOSITIONS) + 1)
+    return table(s, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), context.decomposition(reply).alias("r")).select("conv_id", "turn", "r.hop1", "r.hop2", "r.bridge_hint", "r.fallback_reason")
+
+
+REPLY_SQL = lambda replies: f"[{', '.join(map(quoted, replies))}][((conv_id + turn) % {len(replies)} + 1)::INT]"
+VERIFY = f"""SELECT conv_id, turn::BIGINT AS turn, coalesce(regexp_matches(t, '(?i)\\b(?:while|whereas|but|however|on the other hand)\\b') OR regexp_matches(t, '(?i)(?:entity|first|second|former|latter)\\b.*\\b(?:is|was|has|had)\\b')
+    OR regexp_matches(t, '(?s)\\b\\d+[.)]\\s+\\w+.*\\b\\d+[.)]\\s+\\w+'), false) AS explicit FROM (SELECT conv_id, turn, text AS t FROM conversations UNION ALL SELECT conv_id, turn + 1000, {REPLY_SQL(REPLIES)} FROM conversations)"""
+DECOMPOSE = f"""WITH c AS (SELECT conv_id, turn::BIGINT AS turn, {REPLY_SQL(DECOMPOSITIONS)} AS reply FROM conversations), v AS (SELECT *, CASE WHEN json_valid(reply) THEN reply::JSON END AS j FROM c),
+    f AS (SELECT *, {', '.join(f"CASE WHEN json_type(j, '$.{n}') = 'VARCHAR' THEN trim(json_extract_string(j, '$.{n}')) END AS {a}" for n, a in (("hop1SubQuestion", "h1"), ("hop2SubQuestion", "h2"), ("bridgeEntityHint", "hint")))} FROM v),
+    w AS (SELECT *, CASE WHEN j IS NULL THEN 'decomposition_parse_error' WHEN coalesce(h1, '') = '' OR coalesce(h2, '') = '' THEN 'decomposition_missing_field' WHEN NOT contains(h2, '{{hop1Answer}}') THEN 'decomposition_missing_placeholder'
+    WHEN lower(h1) = lower(trim(replace(h2, '{{hop1Answer}}', ''))) THEN 'decomposition_duplicate_hops' END AS fallback_reason FROM f)
+    SELECT conv_id, turn, CASE WHEN fallback_reason IS NULL THEN h1 END AS hop1, CASE WHEN fallback_reason IS NULL THEN h2 END AS hop2, CASE WHEN fallback_reason IS NULL AND hint <> '' THEN hint END AS bridge_hint, fallback_reason FROM w"""
+GROUNDING = r"""WITH c AS (SELECT conv_id, turn, array_to_string(string_split(c.text, ' ')[1:2], ' ') AS answer, d.text AS passage FROM conversations c JOIN documents d ON d.doc_id = c.conv_id),
+    n AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(coalesce(answer, '')), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(coalesce(passage, '')), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM c),
+    w AS (SELECT *, list_filter(string_split(a, ' '), lambda x: length(x) > 1) AS w, string_split(p, ' ') AS pw FROM n)
+    SELECT conv_id, turn, a <> '' AND (CASE WHEN length(a) <= 3 THEN contains(' ' || p || ' ', ' ' || a || ' ') ELSE contains(p, a) END OR (len(w) >= 2 AND len(list_filter(w, lambda x: list_contains(pw, x))) / len(w) >= 0.6)
+    OR (len(w) <= 3 AND len(list_filter(w, lambda x: length(x) >= 4)) > 0 AND len(list_filter(w, lambda x: length(x) >= 4 AND NOT contains(p, x))) = 0)) AS grounded FROM w"""
+
+
+def merged_facts(s, d):
+    """Facts of the databases (languages) of their documents, by confidence within each; every fifth is also known to another one."""
+    f = tables.facts(s, d).select("fact_id", "head_entity", "relation", "tail_entity", "confidence", F.concat(F.lit("db"), (F.length("fact_id") % 3).cast("string")).alias("db_id"))
+    both = f.unionByName(f.filter(F.length("fact_id") % 5 == 0).withColumn("db_id", F.lit("db9")))
+    return retrieval.ranked(both, "db_id", "fact_id", "confidence").select("db_id", "fact_id", "head_entity", "relation", "tail_entity", "rank", F.lit(1.0).alias("weight"))
+
+
+def q_federated_facts(s, d):
+    return retrieval.federate_facts(merged_facts(s, d)).select("db_id", "fact_id", F.round("score", 9).alias("score"))
+
+
+def q_merged_context(s, d):
+    p, f = context_inputs(s, d)
+    return context.merged_context(p, f).select("context", F.round("confidence", 6).alias("confidence"))
+
+
+MERGED_FACTS = f"""{tables.with_ctes('facts')}, b AS (SELECT fact_id, confidence, 'db' || length(fact_id) % 3 AS db_id FROM facts UNION ALL SELECT fact_id, confidence, 'db9' FROM facts WHERE length(fact_id) % 5 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY confidence DESC, fact_id) AS rank FROM b), s AS (SELECT *, round(1.0 / ({K} + rank), 12) AS sc FROM r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY sc DESC, db_id, rank) AS rn FROM s) SELECT db_id, fact_id, round(sc, 9) AS score FROM o WHERE rn = 1 ORDER BY sc DESC, db_id, fact_id LIMIT 10"""
 
 
 def q_match_rate(s, d):
@@ -265,9 +317,11 @@ QUERIES = {
     "win4_simple_context": (q_simple_context, f"""{tables.with_ctes('facts')}, {BM25}, {P_IN}, {F_IN} SELECT (SELECT string_agg('Passage: ' || text, chr(10) ORDER BY rank) FROM p_in) || chr(10) || (SELECT string_agg('Fact: ' || head_entity || ' ' || relation || ' ' || tail_entity, chr(10) ORDER BY rank) FROM f_in) AS context, round(greatest((SELECT max(score) FROM p_in), (SELECT max(score) FROM f_in)), 6) AS confidence"""),
     "qa2_template_answer": (q_template, f"""{tables.with_ctes('facts')}, {BM25}, {P_IN}, {F_IN}, sn AS (SELECT string_agg(CASE WHEN length(text) <= 160 THEN text ELSE substr(text, 1, 159) || '…' END, ' ' ORDER BY rank) AS a, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS c FROM p_in WHERE rank <= 3), e AS (SELECT n, min(rank * 2 + p) AS f FROM (SELECT head_entity AS n, rank, 0 AS p FROM f_in UNION ALL SELECT tail_entity, rank, 1 FROM f_in) GROUP BY n ORDER BY f, n LIMIT 8) SELECT 'What?' AS question, a || ' Entities: ' || (SELECT string_agg(n, ', ' ORDER BY f, n) FROM e) AS answer, c AS citations FROM sn"""),
     "agg18_majority_vote": (q_vote, """SELECT conv_id, answer, votes FROM (SELECT conv_id, norm, count(*) AS votes, min(pos) AS first, arg_min(answer, pos) AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, min(pos)) AS rn FROM (SELECT conv_id, substr(text, 1, 1) AS answer, lower(trim(substr(text, 1, 1))) AS norm, turn * 2 + (role = 'user')::INT AS pos FROM conversations) WHERE norm <> '' GROUP BY conv_id, norm) WHERE rn = 1"""),
-    "qa3_verification": (q_verify, r"""SELECT role, count(*) FILTER (NOT regexp_matches(text, '(?i)\b(?:cannot|can''t|not enough|unclear|unknown|insufficient)\b|\bboth\b.*\bsame\b|^\s*$')) AS ok, count(*) AS n FROM conversations GROUP BY role"""),
-    "qa4_decomposition": (q_decompose, """SELECT ['usable', 'empty_hop1', 'parse_error', 'missing_placeholder', 'empty_reply'][turn % 5 + 1] AS outcome, count(*) AS n FROM conversations GROUP BY 1"""),
-    "qa5_grounding": (q_grounding, None),
+    "qa3_verification": (q_verify, VERIFY),
+    "qa4_decomposition": (q_decompose, DECOMPOSE),
+    "qa5_grounding": (q_grounding, GROUNDING),
+    "top7_federated_facts": (q_federated_facts, MERGED_FACTS),
+    "top7_merged_context": (q_merged_context, f"""{tables.with_ctes('facts')}, {BM25}, {P_IN}, {F_IN} SELECT (SELECT string_agg('Passage: ' || text, chr(10) ORDER BY rank) FROM p_in) || chr(10) || (SELECT string_agg('Fact: ' || head_entity || ' ' || relation || ' ' || tail_entity, chr(10) ORDER BY rank) FROM f_in) AS context, round((SELECT score FROM p_in WHERE rank = 1), 6) AS confidence"""),
     "agg22_match_rate": (q_match_rate, f"""WITH {BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) SELECT query_id, round(count(*) FILTER (rank > 2) / greatest(count(*), 1), 6) AS match_rate FROM r WHERE rank <= 5 GROUP BY query_id"""),
     "contract_checks": (q_checks, "SELECT unnest(['unique', 'order', 'ranks', 'range', 'limit']) AS rule, 0::BIGINT AS broken"),
     "agg21_timings": (q_timings, "SELECT event_type, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1"),

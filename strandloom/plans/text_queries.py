@@ -55,8 +55,22 @@ def q_hint(s, d):
     return p.select("p_partkey", text.format_hint(F.col("p_name"), F.array("p_brand", "p_type"), F.lower("p_type")).alias("hint"), text.title_case(text.normalize_api_term("p_name")).alias("title"))
 
 
+ANSWER_CASES = (
+    ("Bill Clinton", "William Clinton"), ("American", "United States"), ("1", "1996"), ("1996", "in 1996"), ("It was **three** people", "3"), ("twenty eight", "28"), ("mp3 4k", "mp7k"), ("Atlantic Ocean", "Pacific Ocean"), ("Rob Zemeckis", "Robert Zemeckis"),
+    ("the USA", "United States of America"), ("US", "bus stop"), ("cities", "city"), ("founding members played loud", "founded member play loudly here"), ("", "x"), ("x", ""), ("no idea", "Paris"), ("red green blue white", "green blue red white black"),
+    ("Northern Irish writer", "Northern Ireland"), ("a the", "Paris"), ("1 2 3", "33"), ("wolves ran", "wolf ran"), ("Chuck Berry", "Charles Berry"), ("J Smithson", "John Smithson"),
+)
+
+
 def q_match(s, d):
-    return turns(s, d).filter("before is not null").select("conv_id", "turn", match.answer_matches(F.col("before"), F.substring("text", 1, 24)).alias("matches"))
+    """Neighbouring turns of all conversations, and cases for every rule."""
+    cases = s.createDataFrame([(-1, i, *c) for i, c in enumerate(ANSWER_CASES)], "conv_id long, turn long, response string, gold string")
+    rows = turns(s, d).filter("before is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("before").alias("response"), F.substring("text", 1, 24).alias("gold"))
+    return rows.unionByName(cases).select("conv_id", "turn", match.answer_matches(F.col("response"), F.col("gold")).alias("matches"))
+
+
+PAIRS = "SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response, substr(text, 1, 24) AS gold FROM conversations QUALIFY response IS NOT NULL"
+CASES_SQL = " UNION ALL ".join(f"SELECT -1, {i}, '{r}', '{g}'" for i, (r, g) in enumerate(ANSWER_CASES))
 
 
 def q_guards(s, d):
@@ -177,7 +191,7 @@ QUERIES = {
         lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.escape_lexical_query("text").alias("escaped")),
         r"""SELECT conv_id, turn, regexp_replace(text, '([+\-!(){}\[\]^"~*?:\\/]|&&|\|\|)', '\\\1', 'g') AS escaped FROM conversations""",
     ),
-    "txt23_answer_match": (q_match, None),
+    "txt23_answer_match": (q_match, match.answer_sql(f"({PAIRS}) UNION ALL {CASES_SQL}", "conv_id, turn")),
     "txt24_identifiers": (
         q_guards,
         r"""SELECT event_type, count(*) AS n, count(*) FILTER (regexp_full_match(event_type, '[A-Za-z0-9_-]{1,128}')) AS valid, count(*) FILTER (coalesce(regexp_full_match(props, '[A-Za-z0-9_-]{1,128}'), false)) AS valid_props FROM events GROUP BY 1""",

@@ -55,7 +55,9 @@ def test_final_answer(spark, reply, want):
     assert one(spark, text.final_answer("t"), t=reply) == want
 
 
-@pytest.mark.parametrize(("response", "gold", "want"), [("It was three people", "3", True), ("The Eiffel Tower", "eiffel tower", True), ("no idea", "Paris", False), ("", "x", False), ("founding members played", "founded member play", True)])
+@pytest.mark.parametrize(("response", "gold", "want"), [("It was three people", "3", True), ("The Eiffel Tower", "eiffel tower", True), ("no idea", "Paris", False), ("", "x", False), ("founding members played", "founded member play", True),
+    ("Bill Clinton", "William Clinton", True), ("American", "United States", True), ("1", "1996", False), ("in 1996", "1996", True), ("twenty eight", "28", True), ("Atlantic Ocean", "Pacific Ocean", False), ("Rob Zemeckis", "Robert Zemeckis", True),
+    ("the USA", "United States of America", True), ("x", "", False), ("cities", "city", True), ("red green blue white", "green blue red white black", True), ("green", "green blue red", True), ("1 2 3", "33", False), ("1 2 3", "3 3", False)])
 def test_answer_match(spark, response, gold, want):
     assert one(spark, match.answer_matches(F.col("r"), F.col("g")), r=response, g=gold) is want
 
@@ -144,7 +146,7 @@ def test_budget_breaks_at_the_first_overflow(spark):
     assert [r["rank"] for r in context.within_budget(df, F.col("t"), 50).collect()] == [1]
 
 
-@pytest.mark.parametrize(("answer", "passage", "want"), [("UK", "the uk is", True), ("UK", "duke", False), ("Ada Lovelace", "it was ada lovelace", True), ("red green blue paint", "green blue red car", True), ("", "x", False)])
+@pytest.mark.parametrize(("answer", "passage", "want"), [("UK", "the uk is", True), ("UK", "duke", False), ("Ada Lovelace", "it was ada lovelace", True), ("red green blue paint", "green blue red car", True), ("", "x", False), ("a b green blue red", "green blue", True), ("vitamin c", "vitamin d", True), ("x y", "a x y b", True), ("go on", "on", False)])
 def test_grounding(spark, answer, passage, want):
     assert one(spark, context.grounded("a", "p"), a=answer, p=passage) is want
 
@@ -326,3 +328,50 @@ def test_provider_batches(spark):
 
     df = spark.createDataFrame([(1, "x" * 5000), (2, "yy")], "doc_id long, text string")
     assert {r.doc_id: r.head for r in extraction.extract_with(df, provider).collect()} == {1: "3000", 2: "2"}
+
+
+# --- replies of models -------------------------------------------------------------------------------------------------
+
+
+def test_comparisons_are_asked_again(spark):
+    from strandloom.operators import providers
+
+    asked = []
+
+    def answerer(prompts, sample):
+        asked.extend(prompts)
+        return ["Alpha is old, but Beta is new.\nFINAL: Alpha" if "Q2" in p else "FINAL: no" if "Q3" in p else None for p in prompts]
+
+    rows = [("Q1", "c", "A is 1 while B is 2", "A"), ("Q2", "c", "Yes", "Yes"), ("Q3", "c", "Yes", "Yes"), ("Q4", "c", "Yes", "Yes")]
+    df = spark.createDataFrame(rows, "query string, context string, reply string, answer string")
+    got = {r.query: (r.answer, r.verified) for r in providers.verify_comparisons(df, answerer).collect()}
+    assert got == {"Q1": ("A", True), "Q2": ("Alpha", True), "Q3": ("Yes", False), "Q4": ("Yes", False)}
+
+
+def test_two_hops(spark):
+    from strandloom.operators import providers
+
+    good = '{"hop1SubQuestion": "Who wrote Emma?", "hop2SubQuestion": "Where was {hop1Answer} born?"}'
+    plans = {"ok": good, "json": "nope", "none": None, "lost": good.replace("Emma", "Lost"), "hop1": good.replace("Emma", "Void"), "hop2": good.replace("born", "buried"), "again": good.replace("born", "schooled")}
+
+    def decomposer(prompts, _):
+        return [plans[p.split('"')[1]] for p in prompts]
+
+    def answerer(prompts, sample):
+        reply = {"Who wrote Emma?": "FINAL: Jane Austen", "Who wrote Lost?": "FINAL: Nobody Known", "Who wrote Void?": "", "Where was Jane Austen born?": "thought\nFINAL: Steventon", "Where was Jane Austen buried?": "FINAL: Atlantis", "Where was Jane Austen schooled?": ["FINAL: Oxford", "FINAL: Reading", "FINAL: reading"][sample]}
+        return [reply[p.split("Question: ")[1]] for p in prompts]
+
+    passages = [("p1", "Jane Austen wrote Emma."), ("p2", "She was born in Steventon and went to school in Reading or Oxford.")]
+    df = spark.createDataFrame([(q, passages) for q in plans], "query string, passages array<struct<id:string,text:string>>")
+    got = {r.query: (r.answer, r.fallback_reason) for r in providers.reason_in_two_hops(df, decomposer, answerer).collect()}
+    assert got == {"ok": ("Steventon", None), "json": ("", "decomposition_parse_error"), "none": ("", "llm_api_error"), "lost": ("", "hop1_ungrounded"), "hop1": ("", "hop1_empty"), "hop2": ("", "hop2_ungrounded"), "again": ("Oxford", None)}
+    voted = {r.query: (r.answer, r.hop2_passages) for r in providers.reason_in_two_hops(df, decomposer, answerer, samples=3).collect()}
+    assert voted["again"] == ("Reading", ["p2"]) and voted["ok"] == ("Steventon", ["p2"])
+
+
+def test_active_limit_of_conflicts(spark):
+    rows = [(f"f{i}", "h", "r", f"t{i}", None, None, "active") for i in range(6)]
+    facts = spark.createDataFrame(rows, "fact_id string, head_entity string, relation string, tail_entity string, temporal_scope string, parent string, state string")
+    got = {r.fact_id: r.others for r in memory.conflict_sets(facts, facts, 2).collect()}
+    assert got == {"f0": ["f1", "f2"], "f1": ["f0", "f2"], **{f"f{i}": ["f0", "f1"] for i in range(2, 6)}}
+    assert memory.conflicts(facts, facts).count() == 30
