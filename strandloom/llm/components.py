@@ -1,35 +1,13 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps. Nothing is collected."""
+"""Connected components, with lineage cut by this subpackage's written tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strandloom.llm.common import written
-
-
-def _star(edges: DataFrame, both: DataFrame) -> DataFrame:
-    """Each neighbour of ``u`` in ``both`` (u, v) linked to the least of u and its neighbours."""
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+from strandloom.operators import components as shared
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in ``edges`` (a, b): component is the least id that can be reached.
-
-    Each step is an aggregation with map-side combine and a join on the same key; the table is cut to the shared folder.
-    """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small_in = large
-        small = _star(small_in, small_in).select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_in.groupBy("u").agg(F.min("v").alias("v"))).filter("u <> v").distinct()
-        now = written(small, "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    roots = now.select(F.col("v").alias("id")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    """(id, component) of every id in ``edges`` (a, b): component is the least id that can be reached."""
+    return shared.components(edges, written)
