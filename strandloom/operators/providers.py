@@ -96,7 +96,7 @@ ENHANCED = (
 
 def _asked(df: DataFrame, prompt: Column, answerer: Answerer, sample: int, out: str) -> DataFrame:
     """``df`` with the replies to its prompts; a null prompt is not asked."""
-    schema = df.withColumn(out, F.lit("").cast("string")).schema
+    schema = df.withColumn(out, F.lit(None).cast("string")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
