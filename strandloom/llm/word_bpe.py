@@ -5,7 +5,8 @@ first on ties) is popped and merged until the heap is empty. The count is the nu
 identifier is produced. Words repeat, so each worker keeps counts of words it met, in a cache of bounded size.
 
 Style: Arrow batches in Python; a heap with stale entries has no built-in counterpart. One pass, no shuffle. Texts are read
-batch by batch, so memory is bounded by a batch and the cache.
+batch by batch, so memory is bounded by a batch and the cache. Texts beyond ASCII are normalized and split by the tokenizer
+library's own rules, whose Unicode tables may be newer or older than Python's; the merging is ours.
 
 Defined results: null text = empty text = 0 tokens and 0 bytes; exactly 2048 tokens are not over the limit; repeated rows
 count separately; an empty table gives no rows; further columns are ignored.
@@ -16,7 +17,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,18 +37,24 @@ class WordCounter(dict):
     """Maps a white-space-free, normalized string to its number of tokens; computes on first sight."""
 
     def __init__(self, path: str):
-        import regex
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         spec = json.load(open(path, encoding="utf-8"))
         self.rank = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.vocab = spec["model"]["vocab"]
         self.alphabet = byte_alphabet()
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.splitter = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
+        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]))
 
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of normalized text."""
+        return [p for p, _ in self.splitter.pre_tokenize_str(text)]
+
     def __missing__(self, word: str) -> int:
-        n = sum(self.merged(p) for p in self.pieces.findall(word))
+        n = sum(map(self.merged, self.pieces(word)))
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 64:
@@ -90,11 +96,9 @@ class WordCounter(dict):
 
     def plain(self, text: str) -> int:
         """No special strings. Words between white space never share a token, so they count one by one."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing is without regard to context
-        text = text.lower()
+        text = text.lower() if text.isascii() else self.normalize(text)
         if SEPARATORS.search(text):  # str.split takes these as white space, the pattern does not
-            return sum(map(self.merged, self.pieces.findall(text)))
+            return sum(map(self.merged, self.pieces(text)))
         return sum(map(self.__getitem__, text.split()))
 
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 TEXTS = [
     None, "", " ", "a", "Hello, world! it's 2024 and we'll see", "x<|endoftext|>y <|startoftext|>", "ΑΣΑΣ ΣΑΣ", "İstanbul İ", "été café",
     "tab\tnew\nline\r\n\n  two  spaces   end   ", "a\x1cb \x85c\xa0d e　f", "日本語の文章です。", "emoji 😀😀 x", "“quoted” – it’s", "don't DON'T o'clock 'tis", "x" * 3000,
-    "word " * 5000, "½ ² ٣٤ 12345 1.5", "á ́b", "Ünïcödé straße ǅ ŉ ﬁ", "\x00\x07 ctl", " leading", "trailing ", "a<|endoftext|", "<|endoftext|>",
+    "\ucb12\ua7cb\u0160\u1edc", "\U00010d50 \ua7da\u1c89 x", "word " * 5000, "½ ² ٣٤ 12345 1.5", "á ́b", "Ünïcödé straße ǅ ŉ ﬁ", "\x00\x07 ctl", " leading", "trailing ", "a<|endoftext|", "<|endoftext|>",
 ]
 SCHEMA = "doc_id long, text string, n_tokens string"
 
@@ -33,6 +33,15 @@ def test_counts_equal_the_library(spark, docs):
     assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
 
 
+def test_random_unicode_equals_the_library():
+    lib, mine = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), word_bpe.counter(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(7)
+    ranges = [(0, 0x80), (0x80, 0x250), (0x250, 0x2000), (0x2000, 0xD800), (0xA700, 0xA800), (0xE000, 0x110000)]
+    for _ in range(5000):
+        text = "".join(chr(rng.integers(*ranges[rng.integers(len(ranges))])) for _ in range(rng.integers(1, 12)))
+        assert mine.text(text) == len(lib.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
 def test_packing_is_an_exact_round_trip(spark, docs):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
