@@ -3,6 +3,9 @@
 Every rule is a row of RULES: two metrics and a bound on their ratio. The table compiles to one boolean SQL expression
 over metric columns; metrics are built-in expressions only (no user functions). A document costs one pass and no shuffle.
 
+Stop words are known for languages in Latin letters, so their share is taken of the words without a letter of another script: a
+text wholly in another script has none and the rule lets it pass.
+
 Defined results: a null text counts as empty; an empty text has 0 in every metric and fails; repeated rows each get their
 own verdict; an empty table gives an empty result; further columns of the input never clash, since metrics are kept in one
 struct until the end. Very long texts are handled in the row: window hashes are sorted, O(n log n).
@@ -26,6 +29,8 @@ STOP_WORDS = (
 ).split()
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
+#: Letters of scripts that the stop words are not written in: Greek to Georgian and on, East Asian, the supplementary planes without emoji.
+OTHER_SCRIPT = r"[\x{0370}-\x{1DFF}\x{2E80}-\x{D7FF}\x{F900}-\x{FAFF}\x{10000}-\x{1EFFF}\x{20000}-\x{3FFFF}]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -59,7 +64,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", None, 20),
     Rule("exclamations_per_word", "n_exclaim", "n_words", None, 30),
     Rule("capitals_per_character", "n_capitals", "word_chars", None, 40),
-    Rule("stop_words_per_word", "n_stop_words", "n_words", 2, None),
+    Rule("stop_words_per_latin_word", "n_stop_words", "n_latin_words", 2, None),
     Rule("stutter", "n_adjacent", "n_words", None, 20),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 40),
     Rule("repeated_words", "n_repeat_words", "n_words", None, MAX_REPEAT_PERCENT),
@@ -104,7 +109,7 @@ def repeat_words(ws: Column, n: Column) -> Column:
     return F.when(n > WINDOW, let(h, found)).otherwise(F.lit(0).cast("long"))
 
 
-METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclaim", "n_capitals", "n_stop_words", "n_adjacent", "n_lines")
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclaim", "n_capitals", "n_stop_words", "n_latin_words", "n_adjacent", "n_lines")
 
 
 def with_quality(docs: DataFrame, text: str = "text", out: str = "__quality", rules=RULES) -> DataFrame:
@@ -122,6 +127,7 @@ def with_quality(docs: DataFrame, text: str = "text", out: str = "__quality", ru
             "n_exclaim": _removed(t, "!"),
             "n_capitals": _removed(t, CAPITALS),
             "n_stop_words": F.size(F.filter(F.split(F.lower(t), "[\\x20\\x09-\\x0D.,;:!?]+"), lambda w: w.isin(*STOP_WORDS))).cast("long"),
+            "n_latin_words": F.when(t.rlike(OTHER_SCRIPT), F.size(F.filter(ws, lambda w: ~w.rlike(OTHER_SCRIPT)))).otherwise(n).cast("long"),
             "n_adjacent": F.when(n > 1, F.size(F.filter(pairs, lambda same: same))).otherwise(0).cast("long"),
             "n_lines": F.size(ls).cast("long"),
             "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
@@ -144,7 +150,7 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, then the further metrics."""
     q = with_quality(docs.select("doc_id", "text"), rules=rules)
     first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return q.select("doc_id", *[f"__quality.{c}" for c in [*first, "n_exclaim", "n_capitals", "n_stop_words", "n_adjacent", "n_lines"]])
+    return q.select("doc_id", *[f"__quality.{c}" for c in [*first, "n_exclaim", "n_capitals", "n_stop_words", "n_latin_words", "n_adjacent", "n_lines"]])
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -169,6 +175,7 @@ def metrics_sql(table: str = "documents") -> str:
               (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaim,
               (length(t) - length(regexp_replace(t, '{capitals}', '', 'g')))::BIGINT AS n_capitals,
               len(list_filter(regexp_split_to_array(lower(t), '[\\x20\\x09-\\x0D.,;:!?]+'), lambda x: x IN ({stops})))::BIGINT AS n_stop_words,
+              len(list_filter(ws, lambda x: NOT regexp_matches(x, '{OTHER_SCRIPT}')))::BIGINT AS n_latin_words,
               len(list_filter(list_transform(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]), lambda x: x))::BIGINT AS n_adjacent,
               len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
               coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
@@ -178,4 +185,4 @@ def metrics_sql(table: str = "documents") -> str:
 
 def oracle() -> str:
     return metrics_sql() + """
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_exclaim, n_capitals, n_stop_words, n_adjacent, n_lines FROM q_v"""
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_exclaim, n_capitals, n_stop_words, n_latin_words, n_adjacent, n_lines FROM q_v"""

@@ -34,6 +34,14 @@ def test_counts_equal_python(spark):
     assert q.keep_good(docs).columns == docs.columns and q.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_other_scripts_need_no_stop_words(spark):
+    words = lambda first, n: " ".join(chr(first + i % 20) * (2 + i % 7) for i in range(n))
+    texts = {1: words(0x430, 46), 2: words(0x4E00, 50), 3: words(0x67, 50), 4: words(0x430, 20) + " " + words(0x67, 30), 5: words(0x430, 30) + " “the” … of the – and " + words(0x67, 9)}
+    got = {r.doc_id: r for r in q.quality_rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: r.n_latin_words for i, r in got.items()} == {1: 0, 2: 0, 3: 50, 4: 30, 5: 15}
+    assert {i: r.kept for i, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: True}
+
+
 def test_verdicts_follow_labels(spark):
     d = "/root/testdata/sf0.1"
     rows = q.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("n_words >= 20").collect()
