@@ -15,6 +15,15 @@ def test_marginals_and_calibration(spark):
     assert abs(expected / total - 0.5) < 1e-6 and abs(got / total - 0.5) < 0.05
 
 
+def test_production_rounds_meet_the_marginals(spark):
+    """The query's own rounds: every source, language and topic within half a percent of its target share."""
+    df = mixing.with_sample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("__cell.*", "__mix.*").cache()
+    for d in mixing.DIMENSIONS:
+        rows = df.groupBy(d).agg(F.sum(F.col("n_tokens") * F.col("weight")).alias("fitted"), F.sum("n_tokens").alias("seen")).collect()
+        target, total = sum(r.seen**0.5 for r in rows), sum(r.fitted for r in rows)
+        assert max(abs(r.fitted / total - r.seen**0.5 / target) for r in rows) < 5e-3
+
+
 def test_given_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {"lang": {"en": 0.25, "fr": 0.25, "de": 0.25, "es": 0.25}}
