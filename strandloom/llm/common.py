@@ -31,9 +31,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the cluster's spark.checkpoint.dir; a local one of our own only where that is unset (tests)."""
+    """A fresh folder below the cluster's spark.checkpoint.dir. Where that is unset, one of our own in local mode (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file:///tmp/strandloom-shared"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -41,9 +43,15 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
+    """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation.
+
+    Results are lazy and may read the table long after this returns, so it is deleted when the driver ends.
+    """
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
