@@ -9,15 +9,25 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandloom-shared"
+    """A fresh folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local one in local mode, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/strandloom-shared"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """The same rows, read back from the shared folder: iterations keep a short lineage and survive lost executors."""
+    """The same rows, read back from the shared folder: iterations keep a short lineage and survive lost executors.
+
+    Results are lazy and may read the table long after this returns, so it is deleted when the driver ends.
+    """
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
