@@ -10,6 +10,10 @@ from strandloom.functions import ids, text
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Tables with a row per query term are broadcast up to so many rows; beyond it the joins are ordinary ones.
+BROADCAST_TERMS = 200_000
+#: Stands for a document among its terms; no term is a single space.
+MARK = " "
 
 
 # --- BM25 ------------------------------------------------------------------------------------------------------------
@@ -35,19 +39,25 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, top: int | None = None, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
     """TOP-3: BM25 of every document that shares a term with a query (query_id, query_text); repeated query terms count again.
 
-    Query terms are matched before frequencies are summed, so that only postings of asked-for terms are shuffled.
+    Documents are scanned once: the terms that a query asks for and one marker per document are dealt by document, and frequencies,
+    document frequencies and corpus statistics all read that one exchange, whose plan is therefore the same for the three.
+    Scores of a document are summed where its terms are. Tables on query terms are broadcast up to ``BROADCAST_TERMS`` rows.
     Ties go to the lower document id; scores are rounded to 9 digits so that equal sums tie.
     """
     q = queries.select("query_id", F.explode(text.lexical_tokens("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n_query"))
-    asked = F.broadcast(q.select("term").distinct())
+    small = F.broadcast if q.count() <= BROADCAST_TERMS else lambda df: df
+    mark = queries.sparkSession.createDataFrame([(MARK,)], "term string")
     t = docs.select(key, text.lexical_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    t = t.select(key, F.greatest(F.lit(1), F.size("tokens")).alias("len"), F.explode("tokens").alias("term")).join(asked, "term")
+    t = t.select(key, F.greatest(F.lit(1), F.size("tokens")).alias("len"), F.explode(F.concat("tokens", F.array(F.lit(MARK)))).alias("term"))
+    t = t.join(small(q.select("term").union(mark).distinct()), "term").repartition(key)
+    # a condition inside the sums, since a filter would be moved below the exchange
+    stats = t.agg(F.sum(F.when(F.col("term") == MARK, 1)).alias("n"), F.avg(F.when(F.col("term") == MARK, F.col("len"))).alias("avg_len"))
     tf = t.groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = document_frequencies(tf)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(q, "term").join(df, "term").join(F.broadcast(corpus_stats(docs)))
-    out = scored.groupBy("query_id", key).agg(F.round(F.sum(weight * F.col("n_query")), 9).alias("score"))
+    per_query = q.join(small(df), "term").join(F.broadcast(stats)).select("term", "query_id", "avg_len", (idf * F.col("n_query") * (k1 + 1)).alias("part"))
+    weight = F.col("part") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    out = tf.join(small(per_query), "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 9).alias("score"))
     return out if top is None else ranked(out, "query_id", key).filter(F.col("rank") <= top)
 
 

@@ -111,6 +111,20 @@ def test_triples_are_filtered(spark):
 # --- retrieval ---------------------------------------------------------------------------------------------------------
 
 
+def test_bm25_scans_documents_once_and_agrees_without_broadcasts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, None), (4, "nothing asked"), (5, "")], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "red fox"), (1, "blue blue"), (2, "absent"), (3, None)], "query_id long, query_text string")
+    key = lambda r: (r.query_id, r.doc_id)
+    df = retrieval.bm25(docs, q)
+    got = {key(r): r.score for r in df.collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 2)}
+    # by hand: five documents of 3, 2, 1, 2 and 1 words (1 at least); "fox" is in two of them
+    part = lambda df, tf, n: math.log(1 + (5 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 1.8))
+    assert abs(got[0, 1] - part(1, 2, 3) - part(2, 1, 3)) < 1e-8 and abs(got[0, 2] - part(2, 1, 2)) < 1e-8 and abs(got[1, 2] - 2 * part(1, 1, 2)) < 1e-8
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    assert {key(r): r.score for r in retrieval.bm25(docs, q).collect()} == got
+
+
 def test_bm25_counts_repeated_terms(spark):
     docs = spark.createDataFrame([(1, "red red blue"), (2, "red green"), (3, "")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "red red absent")], "query_id long, query_text string")
