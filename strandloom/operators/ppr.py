@@ -13,8 +13,11 @@ HUB_DEGREE = 50
 def compile_transitions(edges: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
     """GR-7: (src, dst, p): weight over the source's out-weight, damped where the target is a schema node of high degree.
 
-    Parallel edges stay apart. The degree counts edges in and out; damping is 1 / log2(degree + 2).
+    Parallel edges stay apart. The degree counts edges in and out; damping is 1 / log2(degree + 2). The edges, often a projection
+    of several tables, are written once and read by the three parts. Degrees exist for schema nodes only; out-weights are joined
+    on the key that they are grouped by.
     """
+    edges = cut(edges.select("src", "dst", "weight"), "edges")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("dst"))
     degree = ends.filter(F.col("dst").startswith("schema:")).groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
