@@ -16,7 +16,8 @@ their first n - ceil(percent * n / 100) + 1 elements in any common order; the or
      do components get their names, the least ids.
 
 Style: shingle sets and their intersection in Arrow batches (Python, numpy); all joins and counts are DataFrame operations.
-The set is recomputed from the text where it is needed rather than stored. Long lists are streamed from a sorted shuffle.
+The set is recomputed from the text where it is needed rather than stored. A document that many pairs hold (the earliest of a
+large group) has its pairs dealt to several tasks, each of which gets its text. Long lists are streamed from a sorted shuffle.
 
 Defined results: null text, empty text and text without words have an empty set, n_shingles 0 and are their own component;
 repeated rows share a component, named by the least id; rows with one id and different texts are different documents, each in
@@ -47,6 +48,8 @@ SALTS = 16
 CACHE = 200_000
 SKETCH = 512
 BITMAP = 1 << 28
+#: Pairs of one node that one task verifies, about; a node with more is dealt to several tasks by its partners.
+DEALT = 32
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -210,8 +213,10 @@ def may_link(nx, px, ny, py, percent: int):
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a Jaccard of at least ``percent``/100; texts meet, as they pack better than sets."""
     pairs = written(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = small(written(asked.join(nodes.select("node", "rep.row", "rep.check"), "node"), "ids"))
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts"))
+    ids = written(asked.join(nodes.select("node", "rep.row", "rep.check"), "node"), "ids")
+    hot = small(written(ids.filter("parts > 1").select("node", "parts"), "hot"))
+    ids = small(ids)
 
     def check(batches):
         held: dict[str, np.ndarray] = {}
@@ -232,9 +237,12 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int = WORDS
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     # equal rows have one text; they are combined before the exchange
-    found = docs.select(*identity(), "text").join(ids, ["row", "check"]).groupBy("node").agg(F.first("text").alias("text"))
-    side = lambda x: found.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    found = docs.select(*identity(), "text").join(ids, ["row", "check"]).groupBy("node", "parts").agg(F.first("text").alias("text"))
+    side = lambda x: found.select(F.col("node").alias(x), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{x}"), F.col("text").alias(f"t{x}"))
+    for x, other in ("ab", "ba"):
+        pairs = pairs.join(hot.withColumnRenamed("node", x), x, "left")
+        pairs = pairs.withColumn(f"part_{x}", F.coalesce(F.pmod(F.xxhash64(other), "parts").cast("int"), F.lit(0))).drop("parts")
+    joined = pairs.join(side("a"), ["a", "part_a"]).join(side("b"), ["b", "part_b"])
     with small_batches(docs.sparkSession):
         return written(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct(), "links")
 
