@@ -1,7 +1,8 @@
 """Incremental ingestion (IDX-7 to IDX-11) on Structured Streaming: micro-batches upsert passages into a versioned store.
 
 A file source gives at most FILES files per micro-batch; the checkpoint makes a restart continue after the last commit. A
-batch is written as a new version directory and becomes visible by its marker, so that a failed batch leaves no trace.
+batch is written as a delta of its own rows and becomes visible by its marker, so that a failed batch leaves no trace; every
+COMPACT deltas are merged into a full version. Deltas and versions that were merged stay, as readers may still hold them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from strandloom.functions import ids
 
 FILES = 15
+COMPACT = 16
+#: Tables that take deltas, and the key by which a delta's rows replace older ones.
+KEYS = {"passages": "doc_id"}
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
@@ -36,23 +40,36 @@ class Store:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, root.getFileSystem(conf)
 
-    def versions(self, table: str) -> list[int]:
+    def versions(self, table: str, kind: str = "v") -> list[int]:
+        """Numbers of the complete full versions (kind v) or deltas (kind d) of a table."""
         jvm, fs = self._fs()
         top = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
         if not fs.exists(top):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(top)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{n}/_SUCCESS")))
+        return sorted(int(n[2:]) for n in names if n.startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{n}/_SUCCESS")))
 
     def read(self, table: str, schema: str) -> DataFrame:
         found = self.versions(table)
-        if not found:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v={found[-1]}")
+        last = found[-1] if found else -1
+        base = self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v={last}") if found else self.spark.createDataFrame([], schema)
+        deltas = self.deltas(table, last)
+        if not deltas:
+            return base
+        key = KEYS[table]
+        rows = self.spark.read.schema(f"{schema}, version int").parquet(*[f"{self.path}/{table}/d={n}" for n in deltas])
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(*base.columns), "version").alias("r")).select("r.*")
+        return newest.unionByName(base.join(newest.select(key), key, "left_anti").select(base.columns)) if found else newest
+
+    def deltas(self, table: str, after: int = -1) -> list[int]:
+        return [n for n in self.versions(table, "d") if n > after]
 
     def write(self, table: str, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}/v={version}")
 
+    def write_delta(self, table: str, df: DataFrame, version: int) -> None:
+        df.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{self.path}/{table}/d={version}")
+
 
 PASSAGES = "doc_id long, passage_id string, text string, text_hash string, language string, source_url string"
 
@@ -61,12 +78,14 @@ def to_passages(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", ids.passage_id(ids.chunk_id("doc_id", F.lit(0))).alias("passage_id"), "text", ids.text_hash("text").alias("text_hash"), F.col("lang").alias("language"), F.col("source").alias("source_url"))
 
 
-def index_batch(store: Store, docs: DataFrame, version: int) -> None:
+def index_batch(store: Store, docs: DataFrame, version: int, compact: int = COMPACT) -> None:
     """IDX-7: rows of the batch replace those with their ids; unreadable ones go to quarantine. Running a batch again changes nothing."""
     good, bad = quarantine(docs)
-    new = to_passages(good.dropDuplicates(["doc_id"]))
-    old = store.read("passages", PASSAGES)
-    store.write("passages", new.unionByName(old.join(new.select("doc_id"), "doc_id", "left_anti").select(new.columns)), version)
+    full = max(store.versions("passages"), default=-1)
+    if version > full:  # else the batch is part of a full version already
+        store.write_delta("passages", to_passages(good.dropDuplicates(["doc_id"])), version)
+        if len(store.deltas("passages", full)) >= compact:
+            store.write("passages", store.read("passages", PASSAGES), version)
     bad.withColumn("batch", F.lit(version)).write.mode("overwrite").parquet(f"{store.path}/quarantine/batch={version}")
 
 

@@ -308,6 +308,20 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
     assert {r.reason for r in spark.read.parquet(f"{db}/quarantine").collect()} == {"no id", "no text"}
 
 
+def test_deltas_are_merged(spark, tmp_path):
+    db = ingest.Store(spark, str(tmp_path))
+    docs = lambda *rows: spark.createDataFrame([(i, t, "en", "s") for i, t in rows], ingest.SCHEMA)
+    read = lambda: {r.doc_id: r.text for r in db.read("passages", ingest.PASSAGES).collect()}
+    assert read() == {}
+    ingest.index_batch(db, docs((1, "a"), (2, "b")), 1, compact=2)
+    assert read() == {1: "a", 2: "b"} and db.versions("passages") == []
+    ingest.index_batch(db, docs((2, "c"), (None, "x")), 2, compact=2)
+    assert read() == {1: "a", 2: "c"} and db.versions("passages") == [2]
+    ingest.index_batch(db, docs((2, "c"), (None, "x")), 2, compact=2)  # again, after it was merged
+    ingest.index_batch(db, docs((3, "d"), (1, "e")), 3, compact=2)
+    assert read() == {1: "e", 2: "c", 3: "d"} and db.versions("passages") == [2] and db.deltas("passages", 2) == [3]
+
+
 def test_versioned_cache():
     now, calls = [0.0], []
 
