@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -408,7 +409,7 @@ def _scores(trie: Trie, raws: list[bytes], partial: bool = False) -> tuple[np.nd
             lacks = trie.lacks(keys)
             each[lacks] = 0.0
             of, some = text[lacks], keys[lacks]
-            for a, z in zip(at := np.flatnonzero(np.diff(of, prepend=-1)), [*at[1:], len(of)], strict=True):
+            for a, z in pairwise([*np.flatnonzero(np.diff(of, prepend=-1)), len(of)]):  # none where a slice lacks nothing
                 lacked[of[a]].append(counted(some[a:z]))
         if len(text):
             out[text[0] : text[-1] + 1] += np.bincount(text - text[0], weights=each)

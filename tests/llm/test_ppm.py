@@ -69,6 +69,23 @@ def test_pairs_beyond_the_broadcast_count(spark, nodes):
         assert got[:5] == want[:5] and got[6] == pytest.approx(want[6], rel=1e-6, abs=1e-6)
 
 
+def test_slices_that_lack_nothing_beside_some_that_do(spark):
+    common = [(i, "abab abab " * 9) for i in range(40)]
+    rare = [(100 + i, "".join(chr(33 + (i * 7 + j * j) % 90) for j in range(40))) for i in range(9)]
+    parts = [spark.createDataFrame(x, "doc_id long, text string").repartition(n) for n, x in ((2, common), (1, rare))]
+    got = sorted(map(tuple, ppm.score(parts[0].union(parts[1]), nodes=60, bucket=100).collect()))
+    for g, want in zip(got, sorted(brute(common + rare)), strict=True):
+        assert g[:5] == want[:5] and g[6] == pytest.approx(want[6], rel=1e-6, abs=1e-6)
+
+
+def test_scores_of_a_partial_trie_that_lacks_nothing():
+    keys = ppm.counted(next(ppm.gram_keys([b"ab ab ab"]))[1])
+    trie = ppm.Trie({k: ppm.counted(keys[0] & ppm.np.uint64((1 << 8 * (k + 1)) - 1), keys[1]) for k in range(5)})
+    (whole, _), (part, lacked) = ppm._scores(trie, [b"ab ab", b""]), ppm._scores(trie, [b"ab ab", b"ab"], partial=True)
+    assert part[0] == whole[0] and lacked.to_pylist() == [[], []]
+    assert ppm._scores(trie, [], partial=True)[1].to_pylist() == []
+
+
 def test_held_out_text_is_likelier_than_noise(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
