@@ -17,8 +17,8 @@ def docs(s, d):
 
 
 def turns(s, d):
-    """Conversation turns with the text before."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    """Conversation turns with the text before; a missing turn number comes last, as in the SQL."""
+    w = Window.partitionBy("conv_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")])
     return table(s, d, "conversations").withColumn("before", F.lag("text").over(w))
 
 

@@ -3,11 +3,13 @@
 import math
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from strandloom.functions import ids, match, text
 from strandloom.operators import chunking, context, extraction, graph, lexicon, memory, ppr, retrieval, stats
+from strandloom.plans import text_queries
 from strandloom.sources import store
 from strandloom.streaming import ingest
 
@@ -62,6 +64,27 @@ def test_answer_match(spark, response, gold, want):
     assert one(spark, match.answer_matches(F.col("r"), F.col("g")), r=response, g=gold) is want
 
 
+def test_answer_match_equals_its_sql_on_odd_texts(spark):
+    odd = ["aêtre", "tre", "un tre bon", "éan", "aétre la", "être", "Thé", "the", "éan Paris", "é Paris", "İan", "an", "ian", "a\u0301n b", "\u212Aate", "katherine", "a_b", "naïve 3", "é1 é2", "3", "", " ", "a", "x\ny", "xy", "１２", "Zürich**the**", "zrich", "१ a", "USé", "usa", "12345678901234567890 1"]
+    rows = [(i, r, g) for i, (r, g) in enumerate((r, g) for r in odd for g in odd)]
+    got = spark.createDataFrame(rows, "i int, response string, gold string").select("i", match.answer_matches(F.col("response"), F.col("gold")).alias("matches"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (i INT, response VARCHAR, gold VARCHAR)")
+    con.executemany("INSERT INTO p VALUES (?, ?, ?)", rows)
+    want = dict(con.execute(match.answer_sql("SELECT * FROM p", "i")).fetchall())
+    assert [rows[i] for i, m in got.collect() if m != want[i]] == []
+
+
+def test_answer_match_with_missing_turns(spark, tmp_path):
+    rows = [(1, None, "user", "Paris"), (1, 0, "user", "It is Paris"), (1, 1, "user", "London"), (2, 0, "user", None), (2, 1, "user", "x"), (None, 3, "user", "x y"), (None, 4, None, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = [tuple(r) for r in text_queries.q_match(spark, str(tmp_path)).collect()]
+    want = con.execute(text_queries.QUERIES["txt23_answer_match"][1]).fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_hop_similarity(spark):
     assert one(spark, text.hop_similarity("a", "b"), a="New York", b="in new york city") == 1.0
     assert one(spark, text.hop_similarity("a", "b"), a="a b c d", b="a b c e") == pytest.approx(3 / 5)
